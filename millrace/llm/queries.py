@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import boilerplate, canonical, splitting
+from millrace.llm import boilerplate, canonical, near_duplicates, splitting
 from millrace.sources.tables import latest, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of chunks whose texts repeat one another almost entirely."""
+    return near_duplicates.duplicate_pairs(table(spark, folder, "retrieved_chunks"), "chunk_id", "text", 0.6)
+
+
 def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Every value of both fields in its form."""
     units = table(spark, folder, "content_units").select(F.lit("unit_text").alias("field"), F.col("unit_id").alias("row_id"), F.col("text").alias("value"))
@@ -70,5 +75,5 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """The queries by name."""
-    own = [p3_found, p3_forms, p4_found, p4_units, p5_found, p5_pieces]
+    own = [p2_found, p3_found, p3_forms, p4_found, p4_units, p5_found, p5_pieces]
     return {f.__name__: f for f in own}
