@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,17 +26,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, with its lineage cut.
+    """``df`` written as a table to the shared checkpoint folder and read again, with its lineage cut.
 
-    Survives the loss of executors, since the rows lie in the shared folder.
+    Survives the loss of executors, since the rows lie in the shared folder; compressed, and read
+    column by column.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
 
-    ``df`` should be cheap to count (a checkpoint or a small aggregate).
+    ``df`` should be cheap to count (a written table or a small aggregate).
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
