@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import boilerplate, canonical, near_duplicates, splitting
+from millrace.llm import boilerplate, canonical, defects, mixing, near_duplicates, splitting, tokens, truncation
 from millrace.sources.tables import latest, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +61,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     over = units.select("unit_id", "unit_type", "text").join(F.broadcast(limits), "unit_type")
     cut = splitting.oversized(over, "text", "max_chars").select("unit_id", F.when(F.col("hard"), "hard").otherwise("natural").alias("kind")).distinct()
     tables = units.where("unit_type = 'table'").select("unit_id").distinct()
-    limit = F.max("max_chars")
-    parts = table(spark, folder, "table_chunk_parts").crossJoin(F.broadcast(limits.where("unit_type = 'table'").agg(limit.alias("max_chars"))))
+    parts = table(spark, folder, "table_chunk_parts").withColumn("unit_type", F.lit("table")).join(F.broadcast(limits), "unit_type")
     bad = splitting.unsound_parts(parts, "unit_id", F.max("max_chars")).join(tables, "unit_id", "left_semi")
     return cut.unionByName(bad.select("unit_id", F.lit("bad_parts").alias("kind")))
 
@@ -73,7 +72,55 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("unit_id", "part_index", "part_count", "part_text")
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The token ids of every document."""
+    return tokens.token_ids(table(spark, folder, "documents"), "doc_id", "text", "byte_bpe_50k")
+
+
+def _mix(spark: SparkSession, folder: str, one_pass: bool = False) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, folder, "documents").select("doc_id", "source", tokens.token_count(F.col("text")).alias("n_tokens"))
+    return mixing.mix(documents, "doc_id", table(spark, folder, "mix_targets"), one_pass)
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The training mix: which document stands in which slot, and for which time."""
+    return _mix(spark, folder)[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of the mix that each listed source really has."""
+    return _mix(spark, folder)[1]
+
+
+def p7_long_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix of the length of one pass over the listed sources."""
+    return _mix(spark, folder, one_pass=True)[0]
+
+
+def p7_long_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares of that mix."""
+    return _mix(spark, folder, one_pass=True)[1]
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose text breaks off."""
+    return truncation.truncated(table(spark, folder, "documents"), "doc_id", "text", "title").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source truncates."""
+    documents = table(spark, folder, "documents").select("doc_id", "source")
+    marked = documents.join(p8_found(spark, folder).withColumn("cut", F.lit(1)), "doc_id", "left")
+    rates = marked.groupBy("source").agg(F.count("*").alias("n_documents"), F.count("cut").alias("n_truncated"))
+    return rates.withColumn("rate", F.round(F.col("n_truncated") / F.col("n_documents"), 6))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective pairs of question and answer."""
+    return defects.defective_pairs(table(spark, folder, "eval_generation_detail"), "row_id", "query", "answer")
+
+
 def queries() -> dict[str, Query]:
     """The queries by name."""
-    own = [p2_found, p3_found, p3_forms, p4_found, p4_units, p5_found, p5_pieces]
+    own = [p1_found, p2_found, p3_found, p3_forms, p4_found, p4_units, p5_found, p5_pieces, p6_ids, p7_mix, p7_shares, p7_long_mix, p7_long_shares, p8_found, p8_rates]
     return {f.__name__: f for f in own}
