@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import boilerplate, canonical, defects, mixing, near_duplicates, splitting, tokens, truncation
+from millrace.llm.reference_sql import SQL
 from millrace.sources.tables import latest, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,3 +125,8 @@ def queries() -> dict[str, Query]:
     """The queries by name."""
     own = [p1_found, p2_found, p3_found, p3_forms, p4_found, p4_units, p5_found, p5_pieces, p6_ids, p7_mix, p7_shares, p7_long_mix, p7_long_shares, p8_found, p8_rates]
     return {f.__name__: f for f in own}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL that gives the rows of a query, where SQL can express it at the size of whole tables."""
+    return SQL
