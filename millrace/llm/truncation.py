@@ -23,6 +23,8 @@ are compared: those beyond ``PREFIX`` code points by a key of that length and th
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,7 @@ MIN_LINES = 3
 _ENDED = r"(?:[。！？!?”」』]|[^\s.…]\.)[\s]*\z"
 # What may stand behind a cut.
 _MARKS = r"(?:…+|\.{3,}|�+|\[|（[^（）\n]{0,8})\z"
+_BLANKS = "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) in ("Zs", "Zl", "Zp", "Cf") or c in "\t\n\v\f\r")
 _OPEN_TAG = r"<[^<>\n]*\z"
 _OPEN_ROW = r"\n<[^\n]*<[^<>\n]*\z"
 _NAME = r"\b[A-Z][a-z]+[A-Z][A-Za-z]*"
@@ -50,7 +53,18 @@ def masked(text: Column) -> Column:
 
 
 def _trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"[\s\p{Z}\p{Cf}]+\z", "")
+    """Without blanks and invisible characters at the end."""
+    return F.rtrim(text, F.lit(_BLANKS))
+
+
+def _ended(text: Column) -> Column:
+    """Whether a trimmed text ends in good order; its last signs tell."""
+    return F.right(text, F.lit(4)).rlike(_ENDED)
+
+
+def _head(line: Column) -> Column:
+    """The first signs of a line, masked; those beyond the first 32 code points do not matter."""
+    return F.substring(masked(F.substring(line, 1, 32)), 1, HEAD)
 
 
 def _continuations(runs: DataFrame) -> DataFrame:
@@ -63,7 +77,7 @@ def _continuations(runs: DataFrame) -> DataFrame:
     prefixes = F.explode(F.sequence(F.lit(1), F.least(size, F.lit(PREFIX)))).alias("k")
     cuts = runs.select("run", "n", prefixes).select(F.substring("run", F.lit(1), F.col("k")).alias("fragment"), F.substring("run", F.col("k") + 1, F.lit(1)).alias("next"), "n")
     line = (F.col("next") == "\n")
-    on = (F.col("next") != "\n") & ((F.col("next") != "") | F.col("fragment").rlike(r"[，；;,9]\z"))
+    on = (F.col("next") != "\n") & ((F.col("next") != "") | F.right("fragment", F.lit(1)).isin("，", "；", ";", ",", "9"))
     counted = cuts.groupBy("fragment").agg(F.sum(F.when(on, F.col("n")).otherwise(0)).alias("n_on"), F.sum(F.when(line, F.col("n")).otherwise(0)).alias("n_line"))
     return counted.where("n_on + n_line > 0")
 
@@ -113,20 +127,22 @@ def truncated(df: DataFrame, key: str, text: str, title: str | None = None) -> D
     """(key, n_on, n_end): the rows whose text breaks off, with the longer and the complete copies of its last fragment."""
     whole = _trimmed(F.col(text))
     shown = F.col(title) if title else F.lit(None).cast("string")
-    rows = df.select(F.col(key).alias("key"), whole.alias("text"), shown.alias("title")).where(F.length("text") > 0).withColumn("masked", masked(F.col("text")))
+    rows = df.select(F.col(key).alias("key"), whole.alias("text"), shown.alias("title")).where(F.length("text") > 0)
 
-    stretches = F.split("masked", _STRETCH)
+    stretches = F.split(masked(F.col("text")), _STRETCH)
     runs = rows.select(F.explode(F.slice(stretches, 1, F.greatest(F.size(stretches) - 1, F.lit(0)))).alias("run")).where("run != ''").groupBy("run").agg(F.count("*").alias("n"))
     runs = cut(runs)
 
-    open_end = rows.where(~F.col("text").rlike(_ENDED) | F.col("text").rlike(r"\.{3}\z"))
-    last = F.element_at(F.split("text", "\n"), -1)
-    ends = F.array_distinct(F.array(F.col("masked"), F.regexp_replace("masked", _MARKS, ""), F.regexp_replace("masked", _OPEN_ROW, "")))
-    tails = open_end.select("key", last.alias("line"), "title", F.explode(ends).alias("end")).where("end != ''")
+    open_end = rows.where(~_ended(F.col("text")) | (F.right("text", F.lit(3)) == "..."))
+    # what a text ends in lies in its last two lines
+    last = F.substring_index("text", "\n", -1)
+    two = masked(F.substring_index(F.col("text"), "\n", -2))
+    ends = F.array_distinct(F.array(F.col("two"), F.regexp_replace("two", _MARKS, ""), F.regexp_replace("two", _OPEN_ROW, "")))
+    tails = open_end.select("key", last.alias("line"), "title", two.alias("two")).select("key", "line", "title", F.explode(ends).alias("end")).where("end != ''")
     pieces = F.split("end", _STRETCH)
     # a cut after a figure or comma leaves an empty last stretch; the one before it then ends the text
     fragment = F.element_at(F.filter(pieces, lambda p: p != ""), -1)
-    tails = cut(tails.select("key", "line", "title", fragment.alias("fragment"), F.substring(masked(F.col("line")), 1, HEAD).alias("head")))
+    tails = cut(tails.select("key", "line", "title", fragment.alias("fragment"), _head(F.col("line")).alias("head")))
 
     known = _continuations(runs).unionByName(_long_continuations(runs, tails))
     first = tails.join(known, "fragment", "left").join(tails.groupBy("fragment").agg(F.countDistinct("key").alias("n_last")), "fragment")
@@ -138,8 +154,8 @@ def truncated(df: DataFrame, key: str, text: str, title: str | None = None) -> D
     second = windows.join(_window_continuations(runs), "fragment").join(last_windows, "fragment").withColumn("n_end", F.col("n_line") + F.col("n_last") - 1)
     judged = first.where(F.col("n_on").isNotNull()).select(*keep).unionByName(second.select(*keep))
 
-    lines = rows.select(F.explode(F.split("masked", "\n")).alias("line")).where("line != ''")
-    heads = lines.groupBy(F.substring("line", 1, HEAD).alias("head")).agg(F.count("*").alias("n_lines"), F.count_if(~F.col("line").rlike(_ENDED)).alias("n_open"))
+    lines = rows.select(F.explode(F.split("text", "\n")).alias("line")).where("line != ''")
+    heads = lines.groupBy(_head(F.col("line")).alias("head")).agg(F.count("*").alias("n_lines"), F.count_if(~_ended(_trimmed(F.col("line")))).alias("n_open"))
     judged = judged.join(heads, "head", "left")
     of_open_kind = (F.col("n_lines") > MIN_LINES) & ((F.col("n_open") - 1) >= OPEN_SHARE * (F.col("n_lines") - 1))
     complete = (of_open_kind | F.col("line").eqNullSafe(F.col("title"))) & ~F.col("line").rlike(_OPEN_TAG)
