@@ -24,10 +24,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import cut
+from millrace.session import broadcast_if_small, cut
 
 TRAIN_ROWS = 2_000
-TAILS = (1, 2, 3, 5, 7, 9, 12)
+TAILS = (2, 3, 5, 7, 9, 12)
 TAIL_COUNT = 20
 END_SHARE = 0.04
 MIN_LETTERS, MIN_LETTERS_ONE_SCRIPT = 8, 24
@@ -143,18 +143,27 @@ def _shape(text: Column) -> Column:
     return F.concat(F.lit("\x02"), F.regexp_replace(F.regexp_replace(named, r"[0-9]+(?:[.,][0-9]+)*", "9"), r"\s+", " "))
 
 
-def end_shares(texts: DataFrame, shape: str, tails: DataFrame) -> DataFrame:
-    """(tail, n, n_end): of each tail in ``tails``, its occurrences in all texts, and those at the end of one."""
-    size = F.length(shape)
-    spots = F.explode(F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(i.alias("to"), (i == size).alias("last")))).alias("spot")
-    counts = None
-    for n in TAILS:
-        at = texts.select(shape, spots).where(F.col("spot.to") >= 2)
-        tail = F.substring(F.col(shape), F.greatest(F.col("spot.to") - n, F.lit(0)) + 1, F.least(F.col("spot.to"), F.lit(n)))
-        one = at.select(tail.alias("tail"), F.col("spot.last").alias("last")).groupBy("tail").agg(F.count("*").alias("n"), F.count_if("last").alias("n_end"))
-        one = one.join(tails.where(F.col("size") == n).select("tail").distinct(), "tail", "left_semi").withColumn("size", F.lit(n))
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+def _tail(to: Column, n: int) -> Column:
+    """The ``n`` signs of ``shape`` that end at place ``to``, fewer at its start."""
+    return F.substring(F.col("shape"), F.greatest(to - n, F.lit(0)) + 1, F.least(to, F.lit(n)))
+
+
+def end_shares(texts: DataFrame, tails: DataFrame) -> DataFrame:
+    """(size, tail, n, n_end): of each wanted tail, its occurrences in all texts' ``shape``, and those at the end of one.
+
+    Places are first held against the wanted tails of ``TAILS[1]`` signs; only those that fit are counted
+    at the longer sizes.
+    """
+    size = F.length("shape")
+    spots = texts.select("shape", F.explode(F.sequence(F.lit(2), size)).alias("to"), size.alias("size_"))
+    spots = spots.withColumn("last", F.col("to") == F.col("size_"))
+    short, key = TAILS[0], TAILS[1]
+    first = spots.select(F.lit(short).alias("size"), _tail(F.col("to"), short).alias("tail"), "last").groupBy("size", "tail").agg(F.count("*").alias("n"), F.count_if("last").alias("n_end"))
+    wanted = cut(tails.where(F.col("size") == key).select(F.col("tail").alias("key")).distinct())
+    fitting = spots.withColumn("key", _tail(F.col("to"), key)).join(broadcast_if_small(wanted, 200_000), "key", "left_semi")
+    longer = F.explode(F.array(*[F.struct(F.lit(n).alias("size"), _tail(F.col("to"), n).alias("tail")) for n in TAILS[1:]])).alias("t")
+    rest = fitting.select("last", longer).groupBy("t.size", "t.tail").agg(F.count("*").alias("n"), F.count_if("last").alias("n_end"))
+    return first.unionByName(rest)
 
 
 def defective_pairs(df: DataFrame, key: str, question: str, answer: str) -> DataFrame:
@@ -194,7 +203,7 @@ def defective_pairs(df: DataFrame, key: str, question: str, answer: str) -> Data
     size = F.length("shape")
     own = F.explode(F.array(*[F.struct(F.lit(n).alias("size"), F.substring("shape", F.greatest(size - n, F.lit(0)) + 1, F.lit(n)).alias("tail")) for n in TAILS])).alias("t")
     tails = shaped.where("defect IS NULL AND NOT named AND NOT ended").select("key", "marked", own).select("key", "marked", "t.size", "t.tail")
-    shares = end_shares(shaped.where("NOT marked"), "shape", tails)
+    shares = end_shares(shaped.where("NOT marked AND length(shape) >= 2"), tails)
     known = tails.join(shares, ["size", "tail"], "left").where(F.col("n") >= TAIL_COUNT)
     best = known.groupBy("key").agg(F.max_by(F.struct("n", "n_end"), "size").alias("best"), F.max("marked").alias("marked"))
     # an answer's own end is not counted for it; one behind which a mark was set is not among the ends
