@@ -5,6 +5,7 @@ Every function takes and gives string columns unless said otherwise; null text i
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -81,6 +82,11 @@ VALUE_UNIT = r"[%％]|百万元|亿元|万元|元/股|元$|倍$|倍\s|万股|亿
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -303,7 +309,11 @@ def is_metric_value(value: Column) -> Column:
 
 def indicator_unit(indicator: Column, table_unit: Column, value: Column) -> Column:
     """The unit of a figure by its row's name; empty if the figure carries one or has none."""
-    name, unit = stripped(text_or_empty(indicator)), text_or_empty(table_unit)
+    name_, unit, value_ = stripped(text_or_empty(indicator)), text_or_empty(table_unit), text_or_empty(value)
+    return let(name_, lambda name: let(value_, lambda v: _unit_of(name, unit, v)))
+
+
+def _unit_of(name: Column, unit: Column, value: Column) -> Column:
     inside = F.regexp_extract(name, r"[（(]([^）)]*(?:百万元|万元|亿元|元/股|元|倍|%|％)[^）)]*)[）)]", 1)
     given = (
         F.when(F.contains(inside, F.lit("百万元")), "百万元")
@@ -344,9 +354,9 @@ def indicator_label(indicator: Column) -> Column:
 
 def narrative(column: Column, indicator: Column, value: Column, unit: Column) -> Column:
     """``column indicator为value`` with its unit."""
-    figure, column = clean_number(value), text_or_empty(column)
-    said = F.concat(F.when(column != "", F.concat(column, F.lit(" "))).otherwise(""), indicator_label(indicator), F.lit("为"), figure)
-    return F.when(value_has_unit(figure), said).otherwise(F.concat(said, text_or_empty(unit)))
+    column = text_or_empty(column)
+    named = F.concat(F.when(column != "", F.concat(column, F.lit(" "))).otherwise(""), let(indicator, indicator_label), F.lit("为"))
+    return F.concat(named, let(clean_number(value), lambda figure: F.concat(figure, F.when(value_has_unit(figure), "").otherwise(text_or_empty(unit)))))
 
 
 def narrative_is_valid(sentence: Column, value: Column) -> Column:

@@ -47,12 +47,12 @@ class LexicalIndex:
 
     def idf(self) -> DataFrame:
         """(token, df, idf): a negative weight is replaced by a part of the mean weight."""
-        size = self.lengths.agg(F.count("*").alias("n"))
-        raw = self.postings.groupBy("token").agg(F.count("*").alias("df"))
-        raw = raw.join(F.broadcast(size)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-        mean = raw.agg(F.avg("raw").alias("mean"))
-        weight = F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw"))
-        return raw.join(F.broadcast(mean)).select("token", "df", weight.alias("idf"))
+        n = self.lengths.agg(F.count("*")).scalar()
+        counts = self.postings.groupBy("token").agg(F.count("*").alias("df"))
+        raw = counts.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        mean = raw.agg(F.avg("raw")).scalar()
+        weight = F.when(F.col("raw") < 0, F.lit(EPSILON) * mean).otherwise(F.col("raw"))
+        return raw.select("token", "df", weight.alias("idf"))
 
     def search(self, queries: DataFrame, query: str, text: str, k: int) -> DataFrame:
         """The top ``k`` of each query; a token that a query repeats counts as often.
@@ -61,9 +61,9 @@ class LexicalIndex:
         """
         asked = queries.select(F.col(query).alias("query_id"), F.explode(tokens(F.col(text))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
         weighted = asked.join(self.idf(), "token")
-        mean = self.lengths.agg(F.avg("length").alias("mean_length"))
-        hits = self.postings.join(weighted, "token").join(self.lengths, "chunk_id").join(F.broadcast(mean))
-        norm = K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
+        mean = self.lengths.agg(F.avg("length")).scalar()
+        hits = self.postings.join(weighted, "token").join(self.lengths, "chunk_id")
+        norm = K1 * (1 - B + B * F.col("length") / mean)
         part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
         scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
         return ranked(scored, "query_id", "chunk_id", F.col("score"), k)
