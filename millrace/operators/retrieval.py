@@ -130,7 +130,7 @@ def reciprocal_rank_fusion(hits: DataFrame, k: int, constant: int = RRF_K) -> Da
 
 def boost_stock(hits: DataFrame, score: str, hit_code: str, codes: Column, boost: float = STOCK_BOOST) -> DataFrame:
     """Hits of a wanted stock code rise by ``boost``; ranks anew. ``codes`` is an array."""
-    wanted = F.filter(F.transform(codes, F.trim), lambda c: c != "")
+    wanted = F.filter(F.transform(codes, lambda c: F.trim(c)), lambda c: c != "")
     raised = F.col(score) + F.when(F.array_contains(wanted, F.trim(hit_code)), boost).otherwise(0.0)
     out = hits.drop("rank").withColumn(score, F.round(raised, 6))
     return ranked(out, "query_id", "chunk_id", F.col(score))
