@@ -30,7 +30,7 @@ from millrace.session import cut
 
 GOLDEN = 0.6180339887498949
 BLOCK_TOKENS = 8_192
-BUCKETS = 512
+BUCKETS, BUCKET_ROWS = 512, 200_000
 
 
 def running_sum(df: DataFrame, group: str, bucket: str, order: list[str], value: str, before: str) -> DataFrame:
@@ -76,11 +76,11 @@ def allotments(sizes: DataFrame, targets: DataFrame, one_pass: bool = False) ->
     return given.select("source", "target_share", "max_repeats", "available", "tokens", F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(whole)), F.lit(0.0)).alias("weight"))
 
 
-def blocks(documents: DataFrame, key: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def blocks(documents: DataFrame, key: str, block_tokens: int = BLOCK_TOKENS, buckets: int = BUCKETS) -> DataFrame:
     """(source, block, key, n_tokens): each document's block, by where it begins on its source's shuffled line."""
     mixed = F.xxhash64(F.col(key).cast("string"), F.lit("mix"))
     rows = documents.where((F.col("n_tokens") > 0) & F.col("source").isNotNull()).select("source", key, "n_tokens", mixed.alias("_hash"))
-    rows = rows.withColumn("_bucket", F.pmod(F.shiftrightunsigned("_hash", 20), F.lit(BUCKETS)))
+    rows = rows.withColumn("_bucket", F.pmod(F.shiftrightunsigned("_hash", 20), F.lit(buckets)))
     line = running_sum(rows, "source", "_bucket", ["_hash", key], "n_tokens", "_before")
     return line.select("source", F.floor(F.col("_before") / block_tokens).alias("block"), key, "n_tokens")
 
@@ -119,7 +119,8 @@ def mix(documents: DataFrame, key: str, targets: DataFrame, one_pass: bool = Fal
     counted = cut(documents.select(key, "source", "n_tokens"))
     sizes = counted.where("source IS NOT NULL").groupBy("source").agg(F.sum("n_tokens").alias("available"))
     shares = cut(allotments(sizes, targets, one_pass))  # a row per listed source
-    placed = cut(blocks(counted.join(F.broadcast(shares.select("source")), "source", "left_semi"), key, block_tokens))
+    buckets = max(BUCKETS, counted.count() // BUCKET_ROWS)
+    placed = cut(blocks(counted.join(F.broadcast(shares.select("source")), "source", "left_semi"), key, block_tokens, buckets))
     block_counts = placed.groupBy("source").agg((F.max("block") + 1).alias("n_blocks"))
     total = shares.agg(F.sum("tokens")).first()[0] or 0
     slots = spark.range(int(-(-total // block_tokens))).select(F.col("id").alias("slot"))

@@ -263,3 +263,39 @@ def duplicate_pairs(df: DataFrame, id_col: str, text_col: str, min_similarity: f
     same = left.join(right, F.col("a") == F.col("b")).where("x < y")
     pairs = near.select("x", "y").unionByName(same.select("x", "y"))
     return pairs.select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of the nodes of ``links`` (a, b): the least node of each connected component.
+
+    Alternating star steps: each node's greater neighbours are linked to the least node next to it, then its
+    lesser ones; after a number of rounds that grows with the logarithm of the nodes all links point at roots.
+    Every round's links are a written table; only their number and a checksum come to the driver.
+    """
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        edges = cut(small)
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+        before = state
+
+
+def duplicate_groups(df: DataFrame, id_col: str, text_col: str, min_similarity: float = 0.6) -> DataFrame:
+    """(id, group, n_links): each id with its group, the least id that chains of similar texts lead to, and its text's links.
+
+    An id without a similar text is a group of its own; ids of null or short texts are left out.
+    """
+    members, links = near_duplicates(df, id_col, text_col, min_similarity)
+    links = cut(links)
+    roots = components(links)
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    placed = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    names = placed.groupBy("root").agg(F.min("id").alias("group"))
+    return placed.join(names, "root").select(F.col("id").alias(id_col), "group", F.coalesce("n_links", F.lit(0)).alias("n_links"))

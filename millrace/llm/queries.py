@@ -19,6 +19,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.duplicate_pairs(table(spark, folder, "retrieved_chunks"), "chunk_id", "text", 0.6)
 
 
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each chunk with its group of near-duplicates and the number of its links."""
+    return near_duplicates.duplicate_groups(table(spark, folder, "retrieved_chunks"), "chunk_id", "text", 0.6)
+
+
 def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Every value of both fields in its form."""
     units = table(spark, folder, "content_units").select(F.lit("unit_text").alias("field"), F.col("unit_id").alias("row_id"), F.col("text").alias("value"))
@@ -123,7 +128,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """The queries by name."""
-    own = [p1_found, p2_found, p3_found, p3_forms, p4_found, p4_units, p5_found, p5_pieces, p6_ids, p7_mix, p7_shares, p7_long_mix, p7_long_shares, p8_found, p8_rates]
+    own = [p1_found, p2_found, p2_groups, p3_found, p3_forms, p4_found, p4_units, p5_found, p5_pieces, p6_ids, p7_mix, p7_shares, p7_long_mix, p7_long_shares, p8_found, p8_rates]
     return {f.__name__: f for f in own}
 
 

@@ -69,3 +69,29 @@ def test_anchors_meet_within_one_symbol():
     c = b.copy()
     c[:, 1] += 7
     assert not any(set(p[:4]) & set(q[:4]) for p, q in zip(x, nd.anchors(c), strict=True))
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(60)]
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r["node"]: r["root"] for r in nd.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    assert got == {x: find(x) for x in linked}
+    assert nd.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_groups(spark):
+    a, b = "公司收入利润增长下降产品市场需求成本价格" * 3, "完全不同的另外一段文字没有任何相似之处可言" * 3
+    rows = [("c1", a), ("c2", a), ("c3", a[:-2] + "变化"), ("c4", b), ("c5", None)]
+    got = {r["chunk_id"]: (r["group"], r["n_links"]) for r in nd.duplicate_groups(spark.createDataFrame(rows, "chunk_id string, text string"), "chunk_id", "text").collect()}
+    assert got == {"c1": ("c1", 1), "c2": ("c1", 1), "c3": ("c1", 1), "c4": ("c4", 0)}
