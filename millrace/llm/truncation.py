@@ -44,7 +44,9 @@ _BLANKS = "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c)
 _OPEN_TAG = r"<[^<>\n]*\z"
 _OPEN_ROW = r"\n<[^\n]*<[^<>\n]*\z"
 _NAME = r"\b[A-Z][a-z]+[A-Z][A-Za-z]*"
-_STRETCH = r"(?<=[，。；！？!?;,\n])|(?<=\. )|(?<=9)(?!\n)"
+# After what a stretch ends; 9 stands for a figure.
+_STRETCH_END = r"[，。；！？!?;,\n]|\. |9(?!\n)"
+_CUT = "\x01"
 
 
 def masked(text: Column) -> Column:
@@ -52,6 +54,11 @@ def masked(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[0-9]+(?:[.,][0-9]+)*", "9"), _NAME, "某")
 
 
+def stretches(text: Column) -> Column:
+    """The stretches of a masked text, each with the sign it ends at, as an array."""
+    return F.split(F.regexp_replace(text, _STRETCH_END, f"$0{_CUT}"), _CUT)
+
+
 def _trimmed(text: Column) -> Column:
     """Without blanks and invisible characters at the end."""
     return F.rtrim(text, F.lit(_BLANKS))
@@ -129,8 +136,8 @@ def truncated(df: DataFrame, key: str, text: str, title: str | None = None) -> D
     shown = F.col(title) if title else F.lit(None).cast("string")
     rows = df.select(F.col(key).alias("key"), whole.alias("text"), shown.alias("title")).where(F.length("text") > 0)
 
-    stretches = F.split(masked(F.col("text")), _STRETCH)
-    runs = rows.select(F.explode(F.slice(stretches, 1, F.greatest(F.size(stretches) - 1, F.lit(0)))).alias("run")).where("run != ''").groupBy("run").agg(F.count("*").alias("n"))
+    parts = rows.select(stretches(masked(F.col("text"))).alias("parts"))
+    runs = parts.select(F.explode(F.slice("parts", F.lit(1), F.greatest(F.size("parts") - 1, F.lit(0)))).alias("run")).where("run != ''").groupBy("run").agg(F.count("*").alias("n"))
     runs = cut(runs)
 
     open_end = rows.where(~_ended(F.col("text")) | (F.right("text", F.lit(3)) == "..."))
@@ -139,7 +146,7 @@ def truncated(df: DataFrame, key: str, text: str, title: str | None = None) -> D
     two = masked(F.substring_index(F.col("text"), "\n", -2))
     ends = F.array_distinct(F.array(F.col("two"), F.regexp_replace("two", _MARKS, ""), F.regexp_replace("two", _OPEN_ROW, "")))
     tails = open_end.select("key", last.alias("line"), "title", two.alias("two")).select("key", "line", "title", F.explode(ends).alias("end")).where("end != ''")
-    pieces = F.split("end", _STRETCH)
+    pieces = stretches(F.col("end"))
     # a cut after a figure or comma leaves an empty last stretch; the one before it then ends the text
     fragment = F.element_at(F.filter(pieces, lambda p: p != ""), -1)
     tails = cut(tails.select("key", "line", "title", fragment.alias("fragment"), _head(F.col("line")).alias("head")))
