@@ -99,6 +99,7 @@ def cache_text(query: Column) -> Column:
     text = reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), steps, text)
     first = rf"^([一-鿿]{{2,12}}{COMPANY_SUFFIX})(20\d{{2}})年?(.*)$"
     second = rf"^(20\d{{2}})年([一-鿿]{{2,12}}{COMPANY_SUFFIX})(.*)$"
+
     def ordered(t: Column) -> Column:
         """Company, year, rest; a year at the end without its sign."""
         led = F.when(t.rlike(first), F.regexp_replace(t, first, "$1$2年$3")).when(t.rlike(second), F.regexp_replace(t, second, "$2$1年$3")).otherwise(t)
@@ -113,6 +114,25 @@ def report_year(text: Column) -> Column:
     return F.coalesce(F.try_element_at(years, F.lit(-1)), F.lit(""))
 
 
+# Words that are no company.
+NO_COMPANY = (
+    "请问", "请告诉", "想了解", "帮忙", "多少", "是什么", "如何", "预测", "盈利", "财务", "投资", "评级", "风险", "营收", "净利润", "毛利率", "可比", "公司", "主要", "核心", "业务",
+)
+
+
+def company_hint(text: Column) -> Column:
+    """The company that a question names: before a year, behind one, or the first plausible run of Han letters."""
+    name = rf"([一-鿿]{{2,12}}{COMPANY_SUFFIX})"
+    plausible = lambda c: F.length(c).between(2, 14) & ~c.isin(*NO_COMPANY) & ~c.rlike("多少|什么|如何|请问")
+
+    def found(t: Column) -> Column:
+        before, behind = F.regexp_extract(t, rf"^{name}\s*(?:20\d{{2}})", 1), F.regexp_extract(t, rf"(?:20\d{{2}})年\s*{name}", 1)
+        runs = F.filter(F.regexp_extract_all(t, F.lit(name), F.lit(1)), plausible)
+        return F.coalesce(F.when(plausible(before), before), F.when(plausible(behind), behind), F.get(runs, F.lit(0)), F.lit(""))
+
+    return let(cache_text(text), found)
+
+
 # Six ways to say a question differently.
 PARAPHRASES = ("polite_prefix", "polite_tell", "synonym_metric", "word_order", "punctuation", "filler_suffix")
 

@@ -360,7 +360,8 @@ def narrative(column: Column, indicator: Column, value: Column, unit: Column) ->
 
 
 def narrative_is_valid(sentence: Column, value: Column) -> Column:
-    return is_metric_value(value) & ~sentence.rlike(r"为[%百万元亿元倍]+[；;]?$") & ~sentence.rlike(r"(?:YoY|营收|占比|毛利率)为%[；;]?$") & units_are_valid(sentence)
+    empty = r"为[%百万元亿元倍]+[；;]?$|(?:YoY|营收|占比|毛利率)为%[；;]?$"
+    return is_metric_value(value) & let(sentence, lambda s: ~s.rlike(empty) & units_are_valid(s))
 
 
 def is_comparable_table(caption: Column, header: Column) -> Column:

@@ -53,6 +53,43 @@ def bucket(scope: Column, stock_code: Column, query_type: Column, config: Column
     return F.substring(F.sha2(F.concat_ws("|", scope, text_or_empty(stock_code), text_or_empty(query_type), config, index), 256), 1, 32)
 
 
+def payload_chunk_ids(payload: Column) -> Column:
+    """The distinct chunk ids of a JSON payload, in the order of its lists of citations, evidence, rerank and recall hits."""
+    hits = "array<struct<chunk_id:string>>"
+    parsed = F.from_json(payload, f"citations {hits}, evidence_hits {hits}, rerank_hits {hits}, recall_hits {hits}")
+    lists = [F.coalesce(parsed[c]["chunk_id"], F.array().cast("array<string>")) for c in ("citations", "evidence_hits", "rerank_hits", "recall_hits")]
+    return F.filter(F.array_distinct(F.concat(*lists)), lambda c: F.coalesce(c != "", F.lit(False)))
+
+
+def missing_chunks(entries: DataFrame, registry: DataFrame) -> DataFrame:
+    """(entry_id, missing) of entries whose ``chunk_ids`` are not all known; an empty registry knows all."""
+    if registry.isEmpty():
+        return entries.select("entry_id", F.array().cast("array<string>").alias("missing")).limit(0)
+    listed = entries.select("entry_id", F.explode("chunk_ids").alias("chunk_id"))
+    unknown = listed.join(registry.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    return unknown.groupBy("entry_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("missing"))
+
+
+ENTRY_JSON = "version int, storage_key string, query string, scope string, stock_code string, query_type string, ttl_s int, refused boolean, chunk_ids array<string>"
+
+
+def entry_to_json(*fields: Column) -> Column:
+    """An entry as versioned JSON; vectors are left out."""
+    return F.to_json(F.struct(F.lit(1).alias("version"), *fields))
+
+
+def entry_from_json(text: Column) -> Column:
+    """The entry of versioned JSON; null for another version or malformed text."""
+    entry = F.from_json(text, ENTRY_JSON)
+    return F.when(entry["version"] == 1, entry)
+
+
+def purge(entries: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``entries`` without those of ``rejected`` (entry_id, reason) whose reason tells that they are stale."""
+    stale = rejected.where(F.col("reason").isin(*STALE_REASONS)).select("entry_id").distinct()
+    return entries.join(stale, "entry_id", "left_anti")
+
+
 def may_store(query_type: Column, refused: Column, ttl_refused: int = TTL_REFUSED) -> Column:
     """Comparisons are never stored; refusals only while they have a time to live."""
     return ~query_type.eqNullSafe("comparative") & (~F.coalesce(refused, F.lit(False)) | F.lit(ttl_refused > 0))

@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from millrace.functions.text import digits_only, stripped, text_or_empty
 
 
+# Tokens that several words stand for.
+ALIASES = {
+    "EPS": ("EPS", "每股收益", "摊薄每股收益", "每股盈利"), "PE": ("PE", "市盈率", "P/E"), "YoY": ("YoY", "同比"), "归母净利润": ("归母净利润", "归母净利", "净利润"), "净利润": ("净利润", "归母净利润"),
+    "营收": ("营收", "营业收入", "营业总收入"), "营业收入": ("营业收入", "营收", "营业总收入"), "评级": ("评级", "投资评级"), "买入": ("买入", "增持", "推荐", "优于大市"), "增持": ("增持", "买入", "推荐"),
+    "分红": ("分红", "派息", "股利", "股利支付率"), "回购": ("回购",), "毛利率": ("毛利率", "销售毛利率"), "外销": ("外销", "出口", "海外"), "出口": ("出口", "外销", "海外"),
+}
+
+
+def expanded(wanted: Column) -> Column:
+    """Wanted tokens with all words that stand for them, each once, in order."""
+    table = F.create_map(*[x for k, v in ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return F.array_distinct(F.flatten(F.transform(wanted, lambda t: F.coalesce(table[t], F.array(t)))))
+
+
 def blob(*parts: Column) -> Column:
     """The parts that are not empty, on lines of their own."""
     return F.array_join(F.filter(F.array(*map(text_or_empty, parts)), lambda x: x != ""), "\n")

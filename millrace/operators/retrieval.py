@@ -6,7 +6,7 @@ Queries without matches have no rows. Null texts match nothing; null vectors hav
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,11 +40,22 @@ class LexicalIndex:
     """Postings, document lengths and token weights of a corpus, each a DataFrame."""
 
     def __init__(self, corpus: DataFrame, item: str, text: str):
-        self.item = item
         bags = corpus.select(F.col(item).alias("chunk_id"), tokens(F.col(text)).alias("tokens"))
         self.lengths = bags.select("chunk_id", F.size("tokens").alias("length"))
         self.postings = bags.select("chunk_id", F.explode("tokens").alias("token")).groupBy("token", "chunk_id").agg(F.count("*").alias("tf"))
 
+    def save(self, path: str) -> None:
+        """Postings, by token, and lengths as tables under ``path``."""
+        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
+        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
+        """The index that ``save`` wrote; weights are computed anew."""
+        index = cls.__new__(cls)
+        index.postings, index.lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+        return index
+
     def idf(self) -> DataFrame:
         """(token, df, idf): a negative weight is replaced by a part of the mean weight."""
         n = self.lengths.agg(F.count("*")).scalar()

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import ingest, quality, relational, search
+from millrace.plans import ingest, quality, records, relational, search
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (search, quality, ingest, relational)
+_MODULES = (search, quality, ingest, records, relational)
 
 
 def queries() -> dict[str, Query]:

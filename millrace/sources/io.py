@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +41,48 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_at")
 
 
+def manifest_or_files(spark: SparkSession, path: str, root: str) -> DataFrame:
+    """The manifest, or the files under ``root`` as a manifest where it has no rows."""
+    rows = read_manifest(spark, path)
+    if not rows.isEmpty():
+        return rows
+    return discover_files(spark, root).withColumnRenamed("path", "source_pdf_path").select(*MANIFEST.fieldNames())
+
+
+PAGES = "array<array<struct<type:string,content:string>>>"
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, pages) of parsed content lists, a file a document: pages of items (type, content)."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("f"), "value")
+    return files.select(F.regexp_replace("f", r"(_content_list(_v2)?)?\.json$", "").alias("doc_id"), F.from_json("value", PAGES).alias("pages"))
+
+
+def parse_files(files: DataFrame, parse: Callable[[bytes], str], min_chars: int = 1) -> DataFrame:
+    """(doc_id, text, status, error, needs_check) of ``files`` (doc_id, content): a parser at the boundary.
+
+    A file that fails is a row with its error; the others go on. Short texts are marked for a check.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for doc, content in zip(b["doc_id"], b["content"], strict=True):
+                try:
+                    rows.append((doc, parse(content), "done", ""))
+                except Exception as error:
+                    rows.append((doc, None, "failed", f"{type(error).__name__}: {error}"[:500]))
+            yield pd.DataFrame(rows, columns=["doc_id", "text", "status", "error"])
+
+    out = files.select("doc_id", "content").mapInPandas(run, "doc_id string, text string, status string, error string")
+    return out.withColumn("needs_check", F.coalesce(F.length(F.trim("text")) < min_chars, F.lit(True)))
+
+
+def parse_summary(parsed: DataFrame) -> DataFrame:
+    """One row per status: documents, characters, documents to be checked."""
+    return parsed.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"), F.count_if("needs_check").alias("n_check"))
+
+
 def read_chunks(spark: SparkSession, path: str, retrievable_only: bool = True) -> DataFrame:
     """Chunks with their defaults; a chunk is retrievable unless it says otherwise."""
     rows = spark.read.schema(CHUNK).json(path)

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import audit, cache, chunking, evidence, metrics, retrieval
+from millrace.operators import audit, cache, chunking, evidence, metrics, models, records, retrieval
 
 
 def test_lexical_search_against_brute_force(spark):
@@ -145,3 +145,46 @@ def test_islands_and_carry(spark):
 def test_audit(spark):
     df = spark.createDataFrame([("a" * 900,), ("b",), (None,)], "t string")
     assert [len(r[0] or "") for r in audit.hit_rows(df.selectExpr("1 request_id", "'s' stage", "1 rank", "'c' chunk_id", "'d' doc_id", "1.0 score", "t text")).select("text_preview").collect()] == [800, 1, 0]
+
+
+def test_index_is_saved_and_loaded(spark, tmp_path):
+    corpus = spark.createDataFrame([(1, "净利润增长"), (2, "毛利率下降"), (3, "净利润下降")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "净利润")], "query_id long, query string")
+    index = retrieval.LexicalIndex(corpus, "doc_id", "text")
+    index.save(str(tmp_path))
+    again = retrieval.LexicalIndex.load(spark, str(tmp_path))
+    assert sorted(map(tuple, again.search(queries, "query_id", "query", 5).collect())) == sorted(map(tuple, index.search(queries, "query_id", "query", 5).collect()))
+
+
+def test_tables_as_text(spark):
+    rows = [
+        (1, "可比公司估值", "名称 | 代码 | 价 | 2024A | 2025E | 2026E | 2024A | 2025E | 2026E", ["600001.SH | 甲 | 9 | 1 | 2 | 3 | 10 | 20 | 30", "可比公司均值 | 1 | 2 | 3 | 4 | 5 | 6"]),
+        (2, "分产品", "单位 | 2024A | 2025E", ["芯片", "营收 | 百万元 | 5 | 6", "毛利率 | % | 7 | -"]),
+        (3, "盈利预测（百万元）", "项目 | 2024A | 2025E", ["营业收入 | 1 0 | 20", "PE | 3 | 4"]),
+        (4, "基本情况", "项目 | 值", ["总市值（亿元） | 12"]),
+    ]
+    tables = spark.createDataFrame(rows, "k int, table_caption string, table_header string, table_rows array<string>").withColumn("section_title", F.lit(""))
+    said = {r["k"]: r["narrative"] for r in records.narratives(tables, "k").collect()}
+    assert said[1] == "甲 2024A EPS为1元/股；甲 2025E EPS为2元/股；甲 2026E EPS为3元/股；甲 2024A PE为10倍；甲 2025E PE为20倍；甲 2026E PE为30倍；可比公司均值 2024A EPS为1元/股；可比公司均值 2025E EPS为2元/股；可比公司均值 2026E EPS为3元/股；可比公司均值 2024A PE为4倍；可比公司均值 2025E PE为5倍；可比公司均值 2026E PE为6倍"
+    assert said[2] == "2024A 芯片营收为5百万元；2025E 芯片营收为6百万元；2024A 芯片毛利率为7%"
+    assert said[3] == "2024A 营业收入为10百万元；2025E 营业收入为20百万元；2024A PE为3倍；2025E PE为4倍"
+    assert said[4] == "总市值（亿元）为12亿元"
+
+
+def test_table_parts(spark):
+    rows = [(1, ["一二三"] * 5, 4), (2, ["一" * 50], 4), (3, [], 4), (4, None, 4)]
+    tables = spark.createDataFrame(rows, "k int, table_rows array<string>, context_tokens int")
+    got = {}
+    for r in records.table_parts(tables, "k", 10).orderBy("k", "part_index").collect():
+        got.setdefault(r["k"], []).append((r["part_index"], r["part_count"], len(r["rows"] or [])))
+    assert got == {1: [(1, 3, 2), (2, 3, 2), (3, 3, 1)], 2: [(1, 1, 1)], 3: [(1, 1, 0)], 4: [(1, 1, 0)]}
+
+
+def test_encoder_and_codec(spark):
+    df = spark.createDataFrame([(1, "净利润增长"), (2, None), (3, "")], "k int, t string")
+    v = {r["k"]: r["v"] for r in df.select("k", models.embed(F.col("t"), prefix="query: ").alias("v")).collect()}
+    assert v[2] is None and sum(x * x for x in v[1]) == pytest.approx(1, abs=1e-5)
+    payload = '{"citations":[{"chunk_id":"b"}],"recall_hits":[{"chunk_id":"a"},{"chunk_id":"b"},{"chunk_id":""}]}'
+    ids = spark.createDataFrame([(payload,), ("{",), (None,)], "p string").select(cache.payload_chunk_ids(F.col("p")).alias("x")).collect()
+    assert [r["x"] for r in ids] == [["b", "a"], [], []]
+    assert spark.range(1).select(cache.entry_from_json(F.lit('{"version":2,"query":"x"}')).alias("e")).first()["e"] is None

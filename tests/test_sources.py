@@ -55,3 +55,26 @@ def test_cut_keeps_rows_and_folder(spark):
     assert sorted(map(tuple, cut(df).collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
     assert checkpoint_dir(spark) == checkpoint_dir(spark)
     assert broadcast_if_small(df, 1) is df and broadcast_if_small(df, 5) is not df
+
+
+def test_parsing_isolates_failures(spark, tmp_path):
+    def parse(content):
+        if content == b"bad":
+            raise ValueError("unreadable")
+        return content.decode()
+
+    files = spark.createDataFrame([("a", bytearray(b"text")), ("b", bytearray(b"bad")), ("c", bytearray(b""))], "doc_id string, content binary")
+    out = {r["doc_id"]: (r["text"], r["status"], r["needs_check"]) for r in io.parse_files(files, parse).collect()}
+    assert out == {"a": ("text", "done", False), "b": (None, "failed", True), "c": ("", "done", True)}
+    assert {r["status"]: r["n"] for r in io.parse_summary(io.parse_files(files, parse)).collect()} == {"done": 2, "failed": 1}
+
+
+def test_pages_and_fallback(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "d1_content_list_v2.json").write_text('[[{"type":"title","content":"T"}],[{"type":"table","content":"x"}]]')
+    row = io.read_pages(spark, str(tmp_path / "p")).first()
+    assert row["doc_id"] == "d1" and [len(p) for p in row["pages"]] == [1, 1]
+    (tmp_path / "m.json").write_text("")
+    (tmp_path / "pdf").mkdir()
+    (tmp_path / "pdf" / "z.pdf").write_bytes(b"x")
+    assert [r["doc_id"] for r in io.manifest_or_files(spark, str(tmp_path / "m.json"), str(tmp_path / "pdf")).collect()] == ["z"]
