@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
+
 # The signs after which a sentence ends.
 SENTENCE_ENDS = "。！？；!?"
 
@@ -36,11 +38,8 @@ def cuts(text: Column, limit: Column) -> Column:
     """
     whole = F.regexp_extract_all(text, pattern(limit), F.lit(0))
     ends = f"(?s)(\\n|[{SENTENCE_ENDS}])\\z"
-    pieces = F.filter(whole, lambda p: p != "")
-    return F.transform(
-        pieces,
-        lambda p, i: F.struct(p.alias("piece"), ((i < F.size(pieces) - 1) & ~p.rlike(ends)).alias("hard")),
-    )
+    flagged = lambda pieces: F.transform(pieces, lambda p, i: F.struct(p.alias("piece"), ((i < F.size(pieces) - 1) & ~p.rlike(ends)).alias("hard")))
+    return let(F.filter(whole, lambda p: p != ""), flagged)
 
 
 def oversized(df: DataFrame, text: str, limit: str) -> DataFrame:
@@ -65,7 +64,8 @@ def split_pieces(df: DataFrame, text: str, limit: str, overlap: str) -> DataFram
     lap = F.least(F.greatest(F.coalesce(F.col(overlap), F.lit(0)), F.lit(0)), size - 1)
     fits = F.col(text).isNull() | F.col(limit).isNull() | (F.length(text) <= F.col(limit))
     own = F.filter(F.regexp_extract_all(F.col(text), pattern(size - lap), F.lit(0)), lambda p: p != "")
-    starts = F.transform("_own", lambda p, i: F.aggregate(F.slice("_own", 1, i), F.lit(0), lambda n, x: n + F.length(x)))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate("_own", begin, lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"])
     spans = F.filter(
         F.transform(F.arrays_zip("_own", "_start"), lambda z: F.struct(z["_start"].alias("at"), F.length(F.regexp_replace(z["_own"], r"\n\z", "")).alias("size"))),
         lambda z: z["size"] > 0,

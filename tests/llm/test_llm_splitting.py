@@ -55,7 +55,7 @@ def test_hard_means_a_stretch_that_does_not_fit(spark, texts, limit):
     df = spark.createDataFrame([(i, t, limit) for i, t in enumerate(texts)], "id int, text string, m int")
     got = {r["id"]: r["hard"] for r in splitting.oversized(df, "text", "m").collect()}
     for i, t in enumerate(texts):
-        stretches = [s for line in t.split("\n") for s in re.split(r"(?<=[。！？；!?;])", line)] if False else [s for line in t.split("\n") for s in re.split(r"(?<=[。！？；!?])", line)]
+        stretches = [s for line in t.split("\n") for s in re.split(r"(?<=[。！？；!?])", line)]
         assert (i in got) == (len(t) > limit)
         if i in got:
             assert got[i] == (max(map(len, stretches)) > limit)
