@@ -270,6 +270,41 @@ def is_generic_title(title: Column) -> Column:
     return (cleaned == "") | cleaned.isin(*GENERIC_TITLES) | any_contained(cleaned, LEGAL_TITLES)
 
 
+# Titles of sections that are no title of a report.
+SECTION_TITLES = ("投资要点", "投资建议", "风险提示", "核心风险提示", "投资逻辑", "盈利预测", "盈利预测、估值和评级", "市场表现", "投资评级与估值", "关键假设", "投资逻辑要点")
+
+
+def merged_titles(titles: Column) -> Column:
+    """The titles of a page with those put together that were set on two lines, as an array.
+
+    A short title, or one that ends in a comma or particle, waits for the next; a generic or section title
+    ends the wait. Lines that only name a company are left out.
+    """
+    none = F.array().cast("array<string>")
+
+    def step(acc: Column, title: Column) -> Column:
+        state = lambda done, wait: F.struct(done.alias("done"), wait.alias("wait"))
+        add = lambda t: F.concat(acc["done"], F.array(t))
+
+        def placed(t: Column) -> Column:
+            generic = is_generic_title(t)
+            company = (company_named_in(t)["company_name"] != "") & (F.length(t) <= 30)
+            open_end = t.rlike("[，、先的与及]$") | ((F.length(t) <= 18) & ~t.rlike("[）)]$"))
+            return (
+                F.when((t == "") | ((acc["wait"] == "") & generic), acc)
+                .when((acc["wait"] != "") & (generic | t.isin(*SECTION_TITLES)), state(add(acc["wait"]), F.lit("")))
+                .when(acc["wait"] != "", state(add(F.concat(acc["wait"], t)), F.lit("")))
+                .when(company, acc)
+                .when(open_end, state(acc["done"], t))
+                .otherwise(state(add(t), F.lit("")))
+            )
+
+        return let(clean_markers(title), placed)
+
+    start = F.struct(none.alias("done"), F.lit("").alias("wait"))
+    return F.aggregate(F.coalesce(titles, none), start, step, lambda a: F.when(a["wait"] != "", F.concat(a["done"], F.array(a["wait"]))).otherwise(a["done"]))
+
+
 def display_name(company: Column, code: Column, title: Column, broker: Column, date: Column, rating: Column, industry: Column, filename: Column) -> Column:
     """``company（code） — title [industry, broker, date, rating]``, as far as the parts are there."""
     company, code, title, broker, date, rating, industry, filename = map(text_or_empty, (company, code, title, broker, date, rating, industry, filename))

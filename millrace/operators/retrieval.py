@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.session import cut
+
 # Parameters of the lexical score, of fusion and of score adjustment.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -21,12 +23,10 @@ COMPARABLE_PENALTY = 0.10
 
 def tokens(text: Column) -> Column:
     """The tokens of a text in order: words of Latin letters and digits in lower case, pairs of adjacent Han characters."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[㐀-䶿一-鿿]+|[a-z0-9]+"), F.lit(0))
-    pairs = F.transform(
-        runs,
-        lambda r: F.when((F.length(r) > 1) & r.rlike(r"^[㐀-䶿一-鿿]"), F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))).otherwise(F.array(r)),
-    )
-    return F.flatten(pairs)
+    han, word = "[㐀-䶿一-鿿]", "[a-z0-9]"
+    # looked for at every place without consuming it, so that pairs may overlap
+    token = f"(?=({han}{{2}}|(?<!{han}){han}(?!{han})|(?<!{word}){word}+))"
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(token), F.lit(1))
 
 
 def ranked(df: DataFrame, query: str, item: str, score: Column, k: int | None = None) -> DataFrame:
@@ -37,12 +37,15 @@ def ranked(df: DataFrame, query: str, item: str, score: Column, k: int | None =
 
 
 class LexicalIndex:
-    """Postings, document lengths and token weights of a corpus, each a DataFrame."""
+    """Postings, document lengths and token weights of a corpus, each a DataFrame.
+
+    Tokens and postings are written once to the shared checkpoint folder, as every search reads them several times.
+    """
 
     def __init__(self, corpus: DataFrame, item: str, text: str):
-        bags = corpus.select(F.col(item).alias("chunk_id"), tokens(F.col(text)).alias("tokens"))
+        bags = cut(corpus.select(F.col(item).alias("chunk_id"), tokens(F.col(text)).alias("tokens")))
         self.lengths = bags.select("chunk_id", F.size("tokens").alias("length"))
-        self.postings = bags.select("chunk_id", F.explode("tokens").alias("token")).groupBy("token", "chunk_id").agg(F.count("*").alias("tf"))
+        self.postings = cut(bags.select("chunk_id", F.explode("tokens").alias("token")).groupBy("token", "chunk_id").agg(F.count("*").alias("tf")))
 
     def save(self, path: str) -> None:
         """Postings, by token, and lengths as tables under ``path``."""

@@ -78,3 +78,10 @@ def test_cache_text(spark):
     assert one(spark, qf.report_year(F.col("q")), q="从2024到2025年，20251") == "2025"
     for v in qf.PARAPHRASES:
         assert one(spark, qf.paraphrase(F.col("q"), F.lit(v)), q="甲公司2025年营业收入是多少？")
+
+
+def test_merged_titles(spark):
+    rows = [(["证券研究报告", "产能释放带动业绩，", "海外需求持续向好并超出此前预期", "投资要点"],), (["甲股份（600001）", "新品周期开启带动公司盈利能力持续改善提升", "短标题", "风险提示"],), ([],), (None,)]
+    df = spark.createDataFrame(rows, "t array<string>")
+    got = [r[0] for r in df.select(tx.merged_titles(F.col("t"))).collect()]
+    assert got == [["产能释放带动业绩，海外需求持续向好并超出此前预期", "投资要点"], ["新品周期开启带动公司盈利能力持续改善提升", "短标题"], [], []]
