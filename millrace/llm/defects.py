@@ -7,7 +7,8 @@ Language: a naive Bayes model over character n-grams and scripts gives the poste
 answer. It is fitted on at most ``TRAIN_ROWS`` questions per script, a bounded sample, and on a few
 sentences of every language given below. Truncation: over all answers, how often a tail of n characters
 stands at the end of a text, among all its occurrences; a tail that is common but hardly ever final
-marks an answer that breaks off. The longest tail with enough occurrences decides.
+marks an answer that breaks off. The longest tail with enough occurrences decides. Equal answers count
+once.
 
 Null and blank answers are ``empty``. A null question has no language and is never copied. Very long
 answers are scored whole. Repeated rows are judged alike.
@@ -197,13 +198,15 @@ def defective_pairs(df: DataFrame, key: str, question: str, answer: str) -> Data
     named = F.coalesce(q.contains(a) & (F.length(a) >= 2), F.lit(False))
     judged = cut(langs.select("key", "answer", named.alias("named"), first.alias("defect")))
 
-    shaped = judged.where("answer IS NOT NULL AND answer != ''").select("key", "defect", "named", F.col("answer").rlike(_CUT_MARKS).alias("marked"), _shape(F.regexp_replace("answer", _CUT_MARKS, "")).alias("shape"))
+    shaped = judged.where("answer IS NOT NULL AND answer != ''").select("key", "answer", "defect", "named", F.col("answer").rlike(_CUT_MARKS).alias("marked"), _shape(F.regexp_replace("answer", _CUT_MARKS, "")).alias("shape"))
     # an answer that ends in a full stop is whole, however rare its last words are
     shaped = shaped.withColumn("ended", F.col("shape").rlike(r"[。！？!?]\z") & ~F.col("marked"))
     size = F.length("shape")
     own = F.explode(F.array(*[F.struct(F.lit(n).alias("size"), F.substring("shape", F.greatest(size - n, F.lit(0)) + 1, F.lit(n)).alias("tail")) for n in TAILS])).alias("t")
     tails = shaped.where("defect IS NULL AND NOT named AND NOT ended").select("key", "marked", own).select("key", "marked", "t.size", "t.tail")
-    shares = end_shares(shaped.where("NOT marked AND length(shape) >= 2"), tails)
+    # copies of one answer are one text among the occurrences, else those of a cut answer would vote that it is whole
+    distinct = shaped.where("NOT marked AND length(shape) >= 2").select("answer", "shape").dropDuplicates(["answer"])
+    shares = end_shares(distinct, tails)
     known = tails.join(shares, ["size", "tail"], "left").where(F.col("n") >= TAIL_COUNT)
     best = known.groupBy("key").agg(F.max_by(F.struct("n", "n_end"), "size").alias("best"), F.max("marked").alias("marked"))
     # an answer's own end is not counted for it; one behind which a mark was set is not among the ends

@@ -17,7 +17,8 @@ Marks that were set behind a cut (an ellipsis, a replacement character, a bracke
 taken off first, and so is a table row in markup that breaks off; a deliberate ellipsis has no longer copies
 without it. Markup is cut if a tag is open.
 
-Null, empty and blank texts are complete. Repeated texts count each for itself. Fragments of any length
+Null, empty and blank texts are complete. Equal texts count once, by one representative whose verdict goes
+to all of them, each with its own title. Fragments of any length
 are compared: those beyond ``PREFIX`` code points by a key of that length and then as a whole.
 """
 
@@ -28,7 +29,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import cut
+from millrace.session import broadcast_if_small, cut
 
 PREFIX = 48
 WINDOW = 5
@@ -130,11 +131,20 @@ def longer_copies(rows: DataFrame, short: DataFrame) -> DataFrame:
     return asked.join(whole, ["m", "whole"], "left_semi").select("key").distinct()
 
 
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(key, rep, title) of the rows of ``rows`` (key, text, title) whose text has a lesser key too, the least of which is ``rep``; only hashes travel."""
+    hashed = cut(rows.select("key", "title", F.md5("text").alias("hash")))
+    groups = hashed.groupBy("hash").agg(F.min("key").alias("rep"), F.count("*").alias("n")).where("n > 1").select("hash", "rep")
+    return hashed.join(groups, "hash").where("key != rep").select("key", "rep", "title")
+
+
 def truncated(df: DataFrame, key: str, text: str, title: str | None = None) -> DataFrame:
     """(key, n_on, n_end): the rows whose text breaks off, with the longer and the complete copies of its last fragment."""
     whole = _trimmed(F.col(text))
     shown = F.col(title) if title else F.lit(None).cast("string")
     rows = df.select(F.col(key).alias("key"), whole.alias("text"), shown.alias("title")).where(F.length("text") > 0)
+    repeated = cut(_repeated(rows))
+    rows = rows.join(broadcast_if_small(repeated.select("key"), 200_000), "key", "left_anti")
 
     parts = rows.select(stretches(masked(F.col("text"))).alias("parts"))
     runs = parts.select(F.explode(F.slice("parts", F.lit(1), F.greatest(F.size("parts") - 1, F.lit(0)))).alias("run")).where("run != ''").groupBy("run").agg(F.count("*").alias("n"))
@@ -154,7 +164,7 @@ def truncated(df: DataFrame, key: str, text: str, title: str | None = None) -> D
     known = _continuations(runs).unionByName(_long_continuations(runs, tails))
     first = tails.join(known, "fragment", "left").join(tails.groupBy("fragment").agg(F.countDistinct("key").alias("n_last")), "fragment")
     first = first.withColumn("n_end", F.coalesce("n_line", F.lit(0)) + F.col("n_last") - 1)
-    alone = F.col("n_on").isNull() & (F.col("n_end") == 0)
+    alone = F.col("n_on").isNull()
     keep = ["key", "line", "title", "head", "n_on", "n_end"]
     windows = first.where(alone & (F.length("fragment") > WINDOW)).select("key", "line", "title", "head", F.right("fragment", F.lit(WINDOW)).alias("fragment"))
     last_windows = tails.where(F.length("fragment") >= WINDOW).groupBy(F.right("fragment", F.lit(WINDOW)).alias("fragment")).agg(F.countDistinct("key").alias("n_last"))
@@ -164,6 +174,7 @@ def truncated(df: DataFrame, key: str, text: str, title: str | None = None) -> D
     lines = rows.select(F.explode(F.split("text", "\n")).alias("line")).where("line != ''")
     heads = lines.groupBy(_head(F.col("line")).alias("head")).agg(F.count("*").alias("n_lines"), F.count_if(~_ended(_trimmed(F.col("line")))).alias("n_open"))
     judged = judged.join(heads, "head", "left")
+    judged = judged.unionByName(repeated.join(judged.drop("title").withColumnRenamed("key", "rep"), "rep").drop("rep"))
     of_open_kind = (F.col("n_lines") > MIN_LINES) & ((F.col("n_open") - 1) >= OPEN_SHARE * (F.col("n_lines") - 1))
     complete = (of_open_kind | F.col("line").eqNullSafe(F.col("title"))) & ~F.col("line").rlike(_OPEN_TAG)
     by_fragment = judged.where((F.col("n_on") > F.col("n_end")) & ~complete)

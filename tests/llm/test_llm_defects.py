@@ -51,3 +51,8 @@ def test_language_model_on_held_out_sentences():
     }
     assert {lang: model.posterior(t)[0] for lang, t in held.items()} == {lang: lang for lang in held}
     assert model.posterior(None) == (None, 0.0, 0) and model.posterior("12 %") == (None, 0.0, 0)
+
+
+def test_copies_of_a_cut_answer_are_no_votes(spark):
+    often = [(3000 + i, "某某公司2025年净利润预测是多少？", CASES["truncated"][0], None, None) for i in range(40)]
+    assert run(spark, good() + often) == {r[0]: "truncated" for r in often}

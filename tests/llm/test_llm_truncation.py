@@ -43,3 +43,19 @@ def test_whole_text_with_longer_copy(spark):
 
 def test_empty(spark):
     assert found(spark, []) == set()
+
+
+def test_copies_of_a_cut_text_are_no_votes(spark):
+    cut_often = [(2000 + i, "公司产品收入同比增长7%，主要因海外渠道放", None, None) for i in range(80)]
+    assert found(spark, corpus() + cut_often) == {r[0] for r in cut_often}
+
+
+def test_copies_keep_their_own_titles(spark):
+    text = "公司产品收入同比增长7%，主要因海外渠道放"
+    assert found(spark, corpus() + [(900, text, text, None), (901, text, None, None), (902, text, text, None)]) == {901}
+
+
+def test_fragment_seen_at_text_ends_only(spark):
+    # two cut texts end in one fragment that no other text has; what follows its last letters decides
+    rows = corpus() + [(900, "其一，全新看法是海外渠道放", None, None), (901, "其二，全新看法是海外渠道放", None, None)]
+    assert found(spark, rows) == {900, 901}
