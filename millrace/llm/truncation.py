@@ -10,7 +10,10 @@ a line end, and how often it is followed by a line end or the end of a text. Whe
 text is a candidate. An exact check follows: a last line of a kind that ends without a full stop in
 general (headings, table rows, source and rating lines), or that is the title itself, is complete.
 
-A fragment without any copy, longer or complete, is judged by its last ``WINDOW`` code points in the
+A text that a longer copy goes on from within a line is cut whatever its fragment tells, unless its last line
+is its title, a table row, a source or a rating line.
+
+A fragment that no text goes on from is judged by its last ``WINDOW`` code points in the
 same way, against what follows them at any place of a stretch.
 
 Marks that were set behind a cut (an ellipsis, a replacement character, a bracket that stays open) are
@@ -35,6 +38,7 @@ PREFIX = 48
 WINDOW = 5
 HEAD = 4
 OPEN_SHARE = 0.5
+LOOK = 8
 MIN_LINES = 3
 
 # Signs that end a text in good order, at the end of a last line.
@@ -48,6 +52,9 @@ _NAME = r"\b[A-Z][a-z]+[A-Z][A-Za-z]*"
 # After what a stretch ends; 9 stands for a figure.
 _STRETCH_END = r"[，。；！？!?;,\n]|\. |9(?!\n)"
 _CUT = "\x01"
+# Last lines that are whole though a longer text goes on behind them: table rows, source and rating lines; blanks before a line end.
+_WHOLE_LINE = r"(?i)\A\s*(?:[^|\n]*(?:\|[^|\n]+)+|\|.*\||(?:数据来源|资料来源|来源|评级|投资评级|source|rating)\s*[:：].*)\z"
+_SPACES = r"[^\S\n]+"
 
 
 def masked(text: Column) -> Column:
@@ -113,22 +120,39 @@ def _long_continuations(runs: DataFrame, tails: DataFrame) -> DataFrame:
     )
 
 
-def longer_copies(rows: DataFrame, short: DataFrame) -> DataFrame:
+def longer_copies(rows: DataFrame, short: DataFrame, least: int = PREFIX) -> DataFrame:
     """(key) of the rows of ``short`` whose whole text is a strict prefix of the text of another row of ``rows``; both (key, text).
 
     A short text of m code points is looked for by the hash of its first L, where L is the greatest of
-    ``PREFIX``, twice, four times that and so on up to m; shorter ones are not looked for. The texts that
+    ``least``, twice, four times that and so on up to m; shorter ones are not looked for. The texts that
     share such a prefix are hashed at the lengths m that occur there, fewer than L, and met by that hash.
     """
-    steps = F.sequence(F.lit(0), F.floor(F.log2(F.length("text") / PREFIX)).cast("int"))
-    level = F.transform(steps, lambda i: (F.lit(PREFIX) * F.pow(F.lit(2), i)).cast("int"))
+    return _longer(rows, short, least).select("key").distinct()
+
+
+def _longer(rows: DataFrame, short: DataFrame, least: int) -> DataFrame:
+    """(key, in_line): those of ``longer_copies``; ``in_line`` tells whether a longer text goes on with something other than a line end."""
+    steps = F.sequence(F.lit(0), F.floor(F.log2(F.length("text") / least)).cast("int"))
+    level = F.transform(steps, lambda i: (F.lit(least) * F.pow(F.lit(2), i)).cast("int"))
     hashed = lambda n: F.xxhash64(F.substring("text", F.lit(1), n))
-    asked = short.where(F.length("text") >= PREFIX).withColumn("level", F.element_at(level, -1)).select("key", F.length("text").alias("m"), "level", hashed(F.col("level")).alias("h"), F.xxhash64("text").alias("whole"))
-    places = rows.where(F.length("text") >= PREFIX).select("key", F.length("text").alias("n"), F.explode(F.transform(level, lambda n: F.struct(n.alias("level"), hashed(n).alias("h")))).alias("p")).select("key", "n", "p.level", "p.h")
+    asked = short.where(F.length("text") >= least).withColumn("level", F.element_at(level, -1)).select("key", F.length("text").alias("m"), "level", hashed(F.col("level")).alias("h"), F.xxhash64("text").alias("whole"))
+    places = rows.where(F.length("text") >= least).select("key", F.length("text").alias("n"), F.explode(F.transform(level, lambda n: F.struct(n.alias("level"), hashed(n).alias("h")))).alias("p")).select("key", "n", "p.level", "p.h")
     lengths = asked.select("level", "h", "m").distinct()
     ahead = places.join(lengths, ["level", "h"]).where("n > m").select("key", "m")
-    whole = rows.join(ahead, "key").select("m", hashed(F.col("m")).alias("whole")).distinct()
-    return asked.join(whole, ["m", "whole"], "left_semi").select("key").distinct()
+    # a text that ends where a line of the longer one ends may be whole
+    in_line = ~F.regexp_replace(F.substring("text", F.col("m") + 1, F.lit(LOOK)), _SPACES, "").rlike(r"\A(?:\n|\z)")
+    whole = rows.join(ahead, "key").select("m", hashed(F.col("m")).alias("whole"), in_line.alias("in_line")).groupBy("m", "whole").agg(F.max("in_line").alias("in_line"))
+    return asked.join(whole, ["m", "whole"]).select("key", "in_line")
+
+
+def _broken_off(rows: DataFrame, short: DataFrame) -> DataFrame:
+    """(key) of the rows of ``short``, of any length, that a longer text of ``rows`` goes on from within a line.
+
+    Texts under ``PREFIX`` code points are held against the first signs of the others, so that no long text travels for them.
+    """
+    starts = rows.withColumn("text", F.substring("text", 1, PREFIX + LOOK))
+    found = _longer(rows, short, PREFIX).unionByName(_longer(starts, short.where(F.length("text") < PREFIX), 1))
+    return found.where("in_line").select("key").distinct()
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
@@ -178,6 +202,11 @@ def truncated(df: DataFrame, key: str, text: str, title: str | None = None) -> D
     of_open_kind = (F.col("n_lines") > MIN_LINES) & ((F.col("n_open") - 1) >= OPEN_SHARE * (F.col("n_lines") - 1))
     complete = (of_open_kind | F.col("line").eqNullSafe(F.col("title"))) & ~F.col("line").rlike(_OPEN_TAG)
     by_fragment = judged.where((F.col("n_on") > F.col("n_end")) & ~complete)
-    by_whole = longer_copies(rows.select("key", "text"), open_end.select("key", "text")).join(judged.where(~complete).select("key", "n_on", "n_end"), "key")
+    # a text with a longer whole copy breaks off whatever its last fragment tells; only what the kind of a line says exactly speaks against it
+    proven = _broken_off(rows.select("key", "text"), open_end.select("key", "text")).join(open_end.select("key", "title", last.alias("line")), "key")
+    proven = proven.unionByName(repeated.join(proven.drop("title").withColumnRenamed("key", "rep"), "rep").select("key", "title", "line"))
+    whole_line = (F.col("line").rlike(_WHOLE_LINE) | F.col("line").eqNullSafe(F.col("title"))) & ~F.col("line").rlike(_OPEN_TAG)
+    by_whole = proven.where(~whole_line).join(judged.select("key", "n_on", "n_end"), "key", "left")
+    by_whole = by_whole.select("key", F.greatest(F.coalesce("n_on", F.lit(0)), F.lit(1)).alias("n_on"), F.coalesce("n_end", F.lit(0)).alias("n_end"))
     found = by_fragment.select("key", "n_on", "n_end").unionByName(by_whole)
     return found.groupBy("key").agg(F.max("n_on").alias("n_on"), F.min("n_end").alias("n_end")).withColumnRenamed("key", key)

@@ -59,3 +59,19 @@ def test_fragment_seen_at_text_ends_only(spark):
     # two cut texts end in one fragment that no other text has; what follows its last letters decides
     rows = corpus() + [(900, "其一，全新看法是海外渠道放", None, None), (901, "其二，全新看法是海外渠道放", None, None)]
     assert found(spark, rows) == {900, 901}
+
+
+def test_longer_whole_copy_proves_a_cut(spark):
+    # the longer texts go on within their own unended last stretch, which no run holds
+    opening = "一份没有任何别处出现的开场白" * 5
+    short, table, source = "独一无二甲乙丙", "2023E | 12", "数据来源：公司"
+    rows = [(3001, opening + "丁戊己庚辛壬癸", None, None), (3002, opening + "丁戊", None, None), (3003, short + "丁戊己庚", None, None), (3004, short, None, None), (3005, short, None, None)]
+    whole = [(3006, table + ".5 | 3", None, None), (3007, table, None, None), (3008, source + "公告", None, None), (3009, source, None, None), (3010, "独立标题\n下文别处", None, None), (3011, "独立标题", None, None), (3012, "题名甲乙", "题名甲乙", None), (3013, "题名甲乙丙丁", None, None)]
+    whole += [(3020 + i, f"202{i}E | {i}.5 | 8", None, None) for i in range(4)]
+    assert found(spark, corpus() + rows + whole) == {3002, 3004, 3005}
+
+
+def test_longer_copies_of_hot_heads(spark):
+    # the heads of these lines mostly end open, which is no proof against a longer copy
+    rows = [(2000 + i, f"同样开头的句子乙{chr(0x4E00 + 7 * i)}某", None, None) for i in range(12)] + [(3500, "同样开头的句子乙", None, None)]
+    assert 3500 in found(spark, corpus() + rows)
