@@ -89,22 +89,32 @@ def _mix(spark: SparkSession, folder: str, one_pass: bool = False) -> tuple[Data
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
-    """The training mix: which document stands in which slot, and for which time."""
-    return _mix(spark, folder)[0]
+    """The training mix, as long as one pass over the listed sources: which document stands in which slot, and for which time."""
+    return _mix(spark, folder, one_pass=True)[0]
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The share of the mix that each listed source really has."""
+    return _mix(spark, folder, one_pass=True)[1]
+
+
+def p7_exact_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest mix in which every listed source with tokens has its target; the source first at its cap sets its length."""
+    return _mix(spark, folder)[0]
+
+
+def p7_exact_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares of that mix."""
     return _mix(spark, folder)[1]
 
 
 def p7_long_mix(spark: SparkSession, folder: str) -> DataFrame:
-    """The mix of the length of one pass over the listed sources."""
+    """``p7_mix`` by its former name."""
     return _mix(spark, folder, one_pass=True)[0]
 
 
 def p7_long_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """The shares of that mix."""
+    """``p7_shares`` by its former name."""
     return _mix(spark, folder, one_pass=True)[1]
 
 
@@ -128,7 +138,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """The queries by name."""
-    own = [p1_found, p2_found, p2_groups, p3_found, p3_forms, p4_found, p4_units, p5_found, p5_pieces, p6_ids, p7_mix, p7_shares, p7_long_mix, p7_long_shares, p8_found, p8_rates]
+    own = [p1_found, p2_found, p2_groups, p3_found, p3_forms, p4_found, p4_units, p5_found, p5_pieces, p6_ids, p7_mix, p7_shares, p7_exact_mix, p7_exact_shares, p7_long_mix, p7_long_shares, p8_found, p8_rates]
     return {f.__name__: f for f in own}
 
 

@@ -21,3 +21,8 @@ def test_query_runs(spark, folder, name):
 
 def test_sql_names():
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_mix_takes_all_listed_text(spark, folder):
+    shares = queries.p7_shares(spark, folder).collect()
+    assert sum(r["planned_tokens"] for r in shares) >= 0.9 * sum(r["available_tokens"] for r in shares)
