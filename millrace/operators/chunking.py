@@ -79,6 +79,11 @@ def pack_units(units: DataFrame) -> DataFrame:
     return units.join(sized.groupBy("doc_id").applyInPandas(pack, schema), ["doc_id", "pos"])
 
 
+def numbered(doc_id: Column, number: Column) -> Column:
+    """The id of a document's chunk: its number in at least four digits, never cut; null for a null document."""
+    return F.concat(doc_id, F.lit("_"), F.format_string("%04d", number))
+
+
 def chunk_groups(packed: DataFrame) -> DataFrame:
     """(doc_id, group_no, chunk_id, section_title, text, pages, unit_count, token_count) of packed units."""
     parts = packed.groupBy("doc_id", "group_no").agg(
@@ -86,7 +91,7 @@ def chunk_groups(packed: DataFrame) -> DataFrame:
         F.min_by("section_title", "pos").alias("section_title"), F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"), F.count("*").alias("unit_count"),
     )
     text = F.array_join(F.filter("parts.text", lambda x: x != ""), "\n\n")
-    chunk_id = F.concat("doc_id", F.lit("_"), F.lpad(F.col("group_no").cast("string"), 4, "0"))
+    chunk_id = numbered(F.col("doc_id"), F.col("group_no"))
     return parts.select("doc_id", "group_no", chunk_id.alias("chunk_id"), "section_title", text.alias("text"), "page_start", "page_end", "unit_count").withColumn("token_count", token_count(F.col("text")))
 
 
@@ -108,7 +113,7 @@ def merge_islands(rows: DataFrame, group: str, order: str, text: str) -> DataFra
 def renumber(chunks: DataFrame, order: Column) -> DataFrame:
     """Chunks with ids numbered anew within their document."""
     w = Window.partitionBy("doc_id").orderBy(order, "chunk_id")
-    return chunks.withColumn("chunk_id", F.concat("doc_id", F.lit("_"), F.lpad(F.row_number().over(w).cast("string"), 4, "0")))
+    return chunks.withColumn("chunk_id", numbered(F.col("doc_id"), F.row_number().over(w)))
 
 
 def split_budget(text: str, budget: int, overlap: int) -> list[str]:
