@@ -78,12 +78,12 @@ def appendix_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, folder: str) -> DataFrame:
-    """For each question searched for the prompt with its document's first three reranked passages."""
+    """For each question the prompt with its document's first three reranked passages, which are chosen once for each document."""
     found = hits(spark, folder).where("stage = 'rerank'").dropDuplicates(["chunk_id"])
-    wanted = asked(spark, folder).select("query_id", "doc_id", "query", F.col("query_type").alias("kind"))
-    met = wanted.join(found.drop("query_id"), "doc_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score_rerank"), "chunk_id")
-    top = met.withColumn("idx", F.row_number().over(w)).where("idx <= 3")
+    wanted = questions(spark, folder).select(F.col("row_id").alias("query_id"), "doc_id", "query", F.col("query_type").alias("kind"))
+    w = Window.partitionBy("doc_id").orderBy(F.desc_nulls_last("score_rerank"), "chunk_id")
+    best = found.drop("query_id").withColumn("idx", F.row_number().over(w)).where("idx <= 3")
+    top = wanted.join(best, "doc_id")
     page = evidence.page_label(F.col("page_start"), F.col("page_end"))
     text = evidence.passage(F.col("company_name"), F.col("section_title"), F.col("text"))
     block = records.context_block(F.col("idx"), F.col("company_name"), F.col("section_title"), page, text)
