@@ -1,3 +1,10 @@
+import random
+import re
+import time
+from collections import Counter
+
+import pyarrow as pa
+
 from millrace.llm import truncation
 
 SENTENCES = ["公司产品收入同比增长{}%，主要因海外渠道放量。", "需求端，毛利率提升至{}%，后续关注新品进展。", "存量项目的投资回收期缩短至{}年，全年指引不变。", "管理层认为下游补库将延续到{}Q1，弹性取决于成本。"]
@@ -37,8 +44,57 @@ def test_repeated_texts_count_each(spark):
 
 def test_whole_text_with_longer_copy(spark):
     long = "前言" + "文字内容各不相同甲乙丙丁戊己庚辛" * 12 + "结束。"
-    df = spark.createDataFrame([(1, long), (2, long[:100]), (3, long[:40]), (4, long)], "key long, text string")
-    assert {r[0] for r in truncation.longer_copies(df, df).collect()} == {2}
+    df = spark.createDataFrame([(1, long), (2, long[:100]), (3, long[:40]), (4, long), (5, "前"), (6, "结"), (7, long[:50] + "\n别的")], "key long, text string")
+    assert {tuple(r) for r in truncation.longer_copies(df, df).collect()} == {(2, True), (3, True), (5, True)}
+    lines = spark.createDataFrame([(1, "标题一\n正文"), (2, "标题一"), (3, "标题一 \n正文"), (4, "标"), (5, "标题一\n正")], "key long, text string")
+    assert {tuple(r) for r in truncation.longer_copies(lines, lines).collect()} == {(2, False), (4, True), (5, True)}
+
+
+def test_longer_copies_against_brute_force(spark):
+    rng = random.Random(5)
+    texts = sorted({"".join(rng.choice("ab\n") for _ in range(rng.randint(1, 9))) for _ in range(400)})
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    want = {(i, any(y[len(x)] != "\n" for y in texts if len(y) > len(x) and y.startswith(x))) for i, x in enumerate(texts) if any(len(y) > len(x) and y.startswith(x) for y in texts)}
+    assert {tuple(r) for r in truncation.longer_copies(df, df).collect()} == want
+
+
+def test_scan_against_plain_splitting():
+    texts = [truncation.masked(t) for t in ("公司A，营收3.5亿元。\n表1：a. b，12", "x", "\n\n尾行。 ", "增长12\n下行 9", "a.\n b.. \n12")]
+    runs, heads = Counter(), Counter()
+    for t in texts:
+        parts, at = [], 0
+        for m in truncation._STRETCH_END.finditer(t):
+            parts.append(t[at : m.end()])
+            at = m.end()
+        runs.update(parts)
+        for line in filter(None, t.split("\n")):
+            bare = line.rstrip(truncation._BLANKS)
+            running = "\x02" if re.search(r"(?:[。！？!?；]|\. )(?=.*\S)", bare) else ""
+            for head in {line[:4], running + line[:4]}:
+                heads[head, re.search(r"(?:[。！？!?”」』]|[^\s.…]\.)\Z", bare) is None] += 1
+    out = pa.Table.from_batches(truncation._scan([pa.record_batch({"text": texts})])).to_pylist()
+    assert {r["run"]: r["n"] for r in out if r["run"] is not None} == dict(runs)
+    want = {h: (heads[h, True] + heads[h, False], heads[h, True]) for h, _ in heads}
+    assert {r["head"]: (r["n"], r["n_open"]) for r in out if r["head"] is not None} == want
+
+
+def test_long_texts_cost_their_length():
+    run = "".join(chr(0x4E00 + i % 5000) for i in range(160_000))
+    seconds = []
+    for n in (80_000, 160_000):
+        began = time.perf_counter()
+        rows = pa.Table.from_batches(truncation._continuations([pa.record_batch({"run": [run[:n]], "n": [1]})]))
+        seconds.append(time.perf_counter() - began)
+        assert rows.num_rows == n - 1 + 5000
+    assert seconds[1] < 5 * seconds[0] + 0.5
+
+
+def test_hot_header_of_many_lengths(spark):
+    # a third of the texts share one header, which others end in at many lengths
+    header = "".join(chr(0x4E00 + 37 * i % 9000) for i in range(600))
+    rows = [(i, header + f"后文各异{i}号") for i in range(300)] + [(1000 + i, header[: 50 + i]) for i in range(500)]
+    df = spark.createDataFrame(rows, "key long, text string")
+    assert {r["key"] for r in truncation.longer_copies(df, df).where("in_line").collect()} == set(range(1000, 1500))
 
 
 def test_empty(spark):
