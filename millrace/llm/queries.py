@@ -57,7 +57,7 @@ def p4_units(spark: SparkSession, folder: str) -> DataFrame:
 def _limited_units(spark: SparkSession, folder: str) -> DataFrame:
     limits = table(spark, folder, "size_limits")  # one row for each unit_type
     units = table(spark, folder, "content_units").select("unit_id", "unit_type", "text").dropDuplicates(["unit_id"])
-    return units.join(F.broadcast(limits), "unit_type")
+    return units.join(F.broadcast(limits), "unit_type", "left")  # a unit of another type has no limit and stays whole
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 One pattern per limit consumes a text from left to right. Its alternatives are ordered by the
 strength of the boundary they end at: line feed, sentence end, then any character. Each is bounded
-by the limit, so a match never looks further than one piece ahead. The overlap is taken by offset
-from the text before a piece. Lengths are code points.
+by the limit, so a match never looks further than one piece ahead; the same match looks back over the
+overlap. So the work grows with the text and its overlaps, never with its square.
+Lengths are code points.
 
 Null and empty texts give one piece, the text itself; a null limit leaves a text whole; an overlap
 of the limit or more is cut down to one character less than the limit.
@@ -54,7 +55,7 @@ def oversized(df: DataFrame, text: str, limit: str) -> DataFrame:
 
 
 def split_pieces(df: DataFrame, text: str, limit: str, overlap: str) -> DataFrame:
-    """One row per piece: the columns of ``df``, then ``part_index``, ``part_count`` and ``part_text``.
+    """One row per piece: the columns of ``df`` but its text, then ``part_index``, ``part_count`` and ``part_text``.
 
     A text within its limit is its own single piece. Else every piece after the first begins with the
     last ``overlap`` code points that stand before it, and no piece is longer than the limit. A line
@@ -63,20 +64,15 @@ def split_pieces(df: DataFrame, text: str, limit: str, overlap: str) -> DataFram
     size = F.greatest(F.lit(1), F.col(limit))
     lap = F.least(F.greatest(F.coalesce(F.col(overlap), F.lit(0)), F.lit(0)), size - 1)
     fits = F.col(text).isNull() | F.col(limit).isNull() | (F.length(text) <= F.col(limit))
-    own = F.filter(F.regexp_extract_all(F.col(text), pattern(size - lap), F.lit(0)), lambda p: p != "")
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate("_own", begin, lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"])
-    spans = F.filter(
-        F.transform(F.arrays_zip("_own", "_start"), lambda z: F.struct(z["_start"].alias("at"), F.length(F.regexp_replace(z["_own"], r"\n\z", "")).alias("size"))),
-        lambda z: z["size"] > 0,
-    )
-    piece = F.transform(
-        spans, lambda z: F.substring(F.col(text), F.greatest(z["at"] - F.col("_lap"), F.lit(0)) + 1, F.least(z["at"], F.col("_lap")) + z["size"])
-    )
-    work = df.withColumn("_lap", lap).withColumn("_own", own).withColumn("_start", starts)
-    work = work.withColumn("_piece", F.when(fits, F.array(F.col(text))).otherwise(piece))
+    # group 1 looks back for the overlap, shorter only at the text's start; the empty class makes Java count code points there
+    back = F.when(lap > 0, F.concat(F.lit(r"(?s)(?<=(\A.{0,"), (lap - 1).cast("string"), F.lit("}|.{"), lap.cast("string"), F.lit("}|[😀&&[^😀]]))"))).otherwise("()")
+    whole = F.concat(back, F.lit("("), pattern(size - lap), F.lit(")"))
+    found = lambda group: F.regexp_extract_all(F.col(text), whole, F.lit(group))
+    cut_off = F.transform(F.arrays_zip(found(1).alias("lap"), found(2).alias("own")), lambda z: F.struct(z["lap"].alias("lap"), F.regexp_replace(z["own"], r"\n\z", "").alias("own")))
+    piece = F.transform(F.filter(cut_off, lambda z: z["own"] != ""), lambda z: F.concat(z["lap"], z["own"]))
+    work = df.withColumn("_piece", F.when(fits, F.array(F.col(text))).otherwise(piece))
     return work.select(
-        *[F.col(c) for c in df.columns if c not in ("part_index", "part_count", "part_text")],
+        *[F.col(c) for c in df.columns if c not in (text, "part_index", "part_count", "part_text")],
         F.size("_piece").alias("part_count"),
         F.posexplode("_piece").alias("part_index", "part_text"),
     ).withColumn("part_index", F.col("part_index") + 1)

@@ -1,4 +1,5 @@
 import re
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -76,3 +77,22 @@ def test_unsound_parts(spark):
     df = spark.createDataFrame(rows, "unit_id int, part_index int, part_count int, table_raw string")
     assert {r[0] for r in splitting.unsound_parts(df, "unit_id", 10).collect()} == {2, 3, 4, 5, 6, 8}
     assert splitting.unsound_parts(df.limit(0), "unit_id", 10).count() == 0
+
+
+def test_long_texts_cost_their_length(spark):
+    seconds = []
+    pieces(spark, [(0, "短句。\n" * 100, 20, 5)])
+    for n in (60_000, 120_000):
+        began = time.perf_counter()
+        got = pieces(spark, [(0, ("一二三四五六七。八九\n" + "长" * 30) * (n // 41), 20, 5)])[0]
+        seconds.append(time.perf_counter() - began)
+        assert len(got) > n // 20
+    assert seconds[1] < 3 * seconds[0] + 1
+
+
+def test_overlap_reaches_over_short_pieces(spark):
+    # short lines between stretches without a boundary: the overlap spans several pieces
+    text = ("长" * 9 + "\n" + "🙂。" + "b" * 8) * 20
+    got = [p for _, _, p in pieces(spark, [(0, text, 12, 10)])[0]]
+    flat = text.replace("\n", "")
+    assert all(p.replace("\n", "") in flat for p in got) and all(len(p) == 12 or k in (0, len(got) - 1) or p[:10] in text for k, p in enumerate(got))
