@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a low-discrepancy schedule (problem 7).
 
 Each source's documents are shuffled by hash and laid end to end; blocks of equal token count are cut
-from that line. Slot k of the mix has the point frac(k * golden ratio), which falls into the part of
+from that line, through documents where they fall. Slot k of the mix has the point frac(k * golden ratio), which falls into the part of
 [0, 1) that the cumulative weights give to one source; the slots of a source, ranked in order, take its
 blocks one after the other, then again from the first, at most ``max_repeats`` times. So every stretch
 of the mix has nearly the weights of the whole.
@@ -77,12 +77,19 @@ def allotments(sizes: DataFrame, targets: DataFrame, one_pass: bool = False) ->
 
 
 def blocks(documents: DataFrame, key: str, block_tokens: int = BLOCK_TOKENS, buckets: int = BUCKETS) -> DataFrame:
-    """(source, block, key, n_tokens): each document's block, by where it begins on its source's shuffled line."""
+    """(source, block, key, first_token, n_tokens): the part of each document in each block that it reaches into.
+
+    A block is ``block_tokens`` in a row of its source's shuffled line, so all but a source's last are equal,
+    however long its documents are. ``first_token`` counts from 0 within the document.
+    """
     mixed = F.xxhash64(F.col(key).cast("string"), F.lit("mix"))
     rows = documents.where((F.col("n_tokens") > 0) & F.col("source").isNotNull()).select("source", key, "n_tokens", mixed.alias("_hash"))
     rows = rows.withColumn("_bucket", F.pmod(F.shiftrightunsigned("_hash", 20), F.lit(buckets)))
-    line = running_sum(rows, "source", "_bucket", ["_hash", key], "n_tokens", "_before")
-    return line.select("source", F.floor(F.col("_before") / block_tokens).alias("block"), key, "n_tokens")
+    line = running_sum(rows, "source", "_bucket", ["_hash", key], "n_tokens", "_before").withColumn("_behind", F.col("_before") + F.col("n_tokens"))
+    reached = F.explode(F.sequence(F.floor(F.col("_before") / block_tokens), F.floor((F.col("_behind") - 1) / block_tokens))).alias("block")
+    parts = line.select("source", key, "_before", "_behind", reached)
+    begin, end = F.greatest("_before", F.col("block") * block_tokens), F.least("_behind", (F.col("block") + 1) * block_tokens)
+    return parts.select("source", "block", key, (begin - F.col("_before")).alias("first_token"), (end - begin).alias("n_tokens"))
 
 
 def schedule(spark_range: DataFrame, shares: DataFrame, block_counts: DataFrame) -> DataFrame:
@@ -111,8 +118,8 @@ def schedule(spark_range: DataFrame, shares: DataFrame, block_counts: DataFrame)
 def mix(documents: DataFrame, key: str, targets: DataFrame, one_pass: bool = False, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """(mix, report) of ``documents`` (key, source, n_tokens).
 
-    ``mix``: (slot, source, copy, key, n_tokens), a row for each use of a document. ``report``: a row per
-    listed source with its target, cap, available tokens, planned and actual tokens, documents used,
+    ``mix``: (slot, source, copy, key, first_token, n_tokens), a row for each use of a part of a document. ``report``: a row per
+    listed source with its target, cap, available tokens, planned and actual tokens, parts used,
     greatest copy and the share really reached.
     """
     spark = documents.sparkSession
@@ -125,7 +132,7 @@ def mix(documents: DataFrame, key: str, targets: DataFrame, one_pass: bool = Fal
     total = shares.agg(F.sum("tokens")).first()[0] or 0
     slots = spark.range(int(-(-total // block_tokens))).select(F.col("id").alias("slot"))
     plan = schedule(slots, shares, block_counts)
-    mixed = plan.join(placed, ["source", "block"]).select("slot", "source", "copy", key, "n_tokens")
+    mixed = plan.join(placed, ["source", "block"]).select("slot", "source", "copy", key, "first_token", "n_tokens")
     used = mixed.groupBy("source").agg(F.sum("n_tokens").alias("actual_tokens"), F.count("*").alias("n_uses"), F.max("copy").alias("copies"))
     whole = Window.partitionBy(F.lit(1))
     report = shares.join(used, "source", "left").select(

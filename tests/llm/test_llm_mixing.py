@@ -1,6 +1,9 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from millrace.llm import mixing
+from millrace.sources.tables import table
 
 
 def run(spark, docs, targets, **kw):
@@ -28,7 +31,7 @@ def test_shares_are_reached(spark):
     for r in rows:
         uses[r["doc_id"]] = uses.get(r["doc_id"], 0) + 1
     assert max(uses[i] for i in uses if i < 10_000) == 1 and max(uses[i] for i in uses if i >= 20_000) <= 5
-    assert len({(r["doc_id"], r["copy"]) for r in rows}) == len(rows)
+    assert len({(r["doc_id"], r["copy"], r["first_token"]) for r in rows}) == len(rows)
 
 
 def test_every_stretch_is_mixed(spark):
@@ -64,3 +67,41 @@ def test_running_sum(spark):
     for i in order:
         assert got[i] == total
         total += i
+
+
+def test_blocks_are_equal_for_long_documents(spark):
+    rows = [(1, "a", 1000), (2, "a", 7), (3, "a", 0), (4, "a", 333), (5, "b", 25)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    parts = mixing.blocks(df, "doc_id", 100, 8).collect()
+    sizes, own = {}, {}
+    for p in parts:
+        sizes[p["source"], p["block"]] = sizes.get((p["source"], p["block"]), 0) + p["n_tokens"]
+        own.setdefault(p["doc_id"], []).append((p["first_token"], p["n_tokens"]))
+    assert sizes == {("a", k): 100 for k in range(13)} | {("a", 13): 40, ("b", 0): 25}
+    for doc, _, n in rows:
+        at = 0
+        for first, size in sorted(own.get(doc, [])):
+            assert first == at
+            at += size
+        assert at == n
+
+
+def test_shares_on_documents(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).alias("n_tokens"))
+    targets = table(spark, folder, "mix_targets")
+    _, full = mixing.mix(documents, "doc_id", targets, one_pass=True, block_tokens=512)
+    full = {r["source"]: r for r in full.collect()}
+    available = {r["source"]: r["available_tokens"] for r in full.values()}
+    assert sum(r["actual_tokens"] for r in full.values()) == pytest.approx(sum(available.values()), rel=0.03)
+    capped = {s for s, r in full.items() if r["planned_tokens"] == r["available_tokens"] * r["max_repeats"]}
+    for s, r in full.items():
+        assert r["actual_tokens"] == pytest.approx(r["planned_tokens"], abs=512 * 3)
+        assert r["copies"] <= r["max_repeats"]
+    free = [r["actual_share"] / r["target_share"] for s, r in full.items() if s not in capped and r["target_share"] > 0]
+    assert max(free, default=1) <= 1.25 * min(free, default=1)
+    _, exact = mixing.mix(documents, "doc_id", targets, block_tokens=512)
+    exact = [r for r in exact.collect() if r["available_tokens"] > 0 and r["max_repeats"] > 0]
+    listed = sum(r["target_share"] for r in exact)
+    total = sum(r["actual_tokens"] for r in exact)
+    for r in exact:
+        assert r["actual_share"] == pytest.approx(r["target_share"] / listed, abs=512 * 3 / total)
