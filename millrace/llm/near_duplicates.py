@@ -9,8 +9,8 @@ words are determined by any ``BLOCK - 1`` symbols, two blocks that differ in at
 threshold) always meet at an anchor. Within an anchor, short sketches are compared before a pair
 becomes a candidate; candidates are checked exactly on the texts' substrings.
 
-Equal texts are collapsed before and expanded after, so groups of copies never reach an anchor. The
-rows of an anchor with more than ``ANCHOR_ROWS`` texts only stream through the first comparison; they
+Equal texts are collapsed before and expanded after, so groups of copies never reach an anchor; a text of
+more than ``COPIES`` ids is expanded in blocks of ids. The rows of an anchor with more than ``ANCHOR_ROWS`` texts only stream through the first comparison; they
 are then divided into blocks, and each pair of blocks is compared on its own, so that a hot anchor is
 spread over the cluster and no pair is lost.
 
@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.hashing import mixed
 from millrace.session import broadcast_if_small, cut
 
 SHINGLE = 5
@@ -37,16 +38,8 @@ BLOCK, BLOCKS = 4, 8
 SKETCH_SYMBOLS = 16
 SKETCH_AGREE = 5
 ANCHOR_ROWS = 512
-
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
+COPIES = 1_024
+BROADCAST_ROWS = 200_000
 
 def min_hashes(texts: list[str], n: int, size: int = SHINGLE) -> np.ndarray:
     """An array (texts, n) of 32-bit minimum hashes of each text's substrings of ``size``; texts are at least that long."""
@@ -59,8 +52,8 @@ def min_hashes(texts: list[str], n: int, size: int = SHINGLE) -> np.ndarray:
     for j in range(size):
         rolled = rolled * np.uint64(0x100000001B3) + points[j : len(points) - size + 1 + j]
     at = np.arange(counts.sum()) - np.repeat(firsts - begins, counts)
-    base = _mixed(rolled[at])
-    odd = _mixed(np.arange(1, 2 * n + 1, dtype=np.uint64)) | np.uint64(1)
+    base = mixed(rolled[at])
+    odd = mixed(np.arange(1, 2 * n + 1, dtype=np.uint64)) | np.uint64(1)
     out = np.empty((len(texts), n), dtype=np.uint32)
     for i in range(n):
         out[:, i] = np.minimum.reduceat(((base * odd[2 * i] + odd[2 * i + 1]) >> np.uint64(32)).astype(np.uint32), firsts)
@@ -78,7 +71,7 @@ def anchors(words: np.ndarray) -> np.ndarray:
             code[:, i] ^= parity  # the code word that replaces symbol i
             key = np.full(len(words), b + 1, dtype=np.uint64)
             for s in range(BLOCK):
-                key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + code[:, s].astype(np.uint64))
+                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + code[:, s].astype(np.uint64))
             out[:, b * BLOCK + i] = key
     return out
 
@@ -248,7 +241,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, min_similarity: f
     second = _compare(_cells(first.where("key IS NOT NULL").select("key", "rep", "sketch")), None)
     candidates = cut(first.where("a IS NOT NULL").select("a", "b").unionByName(second.select("a", "b")).distinct())
     concerned = candidates.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    some = cut(texts.join(broadcast_if_small(concerned, 1_000_000), "rep", "left_semi"))
+    some = cut(texts.join(broadcast_if_small(cut(concerned), BROADCAST_ROWS), "rep", "left_semi"))
     sided = candidates.join(some.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
     sided = sided.join(some.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
     links = sided.select("a", "b", "text_a", "text_b").mapInArrow(_similarity, "a long, b long, similarity double")
@@ -258,10 +251,24 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, min_similarity: f
 def duplicate_pairs(df: DataFrame, id_col: str, text_col: str, min_similarity: float = 0.6) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of ids whose texts have at least ``min_similarity``, equal texts included."""
     members, links = near_duplicates(df, id_col, text_col, min_similarity)
-    left, right = members.select(F.col("id").alias("x"), F.col("rep").alias("a")), members.select(F.col("id").alias("y"), F.col("rep").alias("b"))
-    near = links.join(left, "a").join(right, "b")
-    same = left.join(right, F.col("a") == F.col("b")).where("x < y")
-    pairs = near.select("x", "y").unionByName(same.select("x", "y"))
+    sized = members.groupBy("rep").agg(F.ceil(F.count("*") / COPIES).cast("int").alias("blocks"))
+    placed = cut(members.join(sized, "rep").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    side = lambda x, r: placed.select(F.col("id").alias(x), F.col("rep").alias(r), F.col("block").alias(f"block_{r}"))
+    left, right = side("x", "a"), side("y", "b")
+    every = lambda r: F.explode(F.sequence(F.lit(0), F.col(f"blocks_{r}") - 1)).alias(f"block_{r}")
+    many = sized.where("blocks > 1")
+    of = lambda r: many.select(F.col("rep").alias(r), F.col("blocks").alias(f"blocks_{r}"))
+    # a text of many ids meets its partners, and itself, block by block
+    wide = links.join(of("a"), "a", "left").join(of("b"), "b", "left").na.fill(1, ["blocks_a", "blocks_b"])
+    met = wide.select("a", "b", "blocks_b", every("a")).select("a", "b", "block_a", every("b"))
+    near = met.join(left, ["a", "block_a"]).join(right, ["b", "block_b"])
+    own = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.struct(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    celled = own.select("id", "rep", "block", cell.alias("cell"))
+    one, two = celled.alias("one"), celled.alias("two")
+    apart = (F.col("one.block") != F.col("two.block")) | (F.col("one.cell.lo") == F.col("one.cell.hi"))
+    same = one.join(two, (F.col("one.rep") == F.col("two.rep")) & (F.col("one.cell") == F.col("two.cell"))).where((F.col("one.id") < F.col("two.id")) & apart).select(F.col("one.id").alias("x"), F.col("two.id").alias("y"))
+    pairs = near.select("x", "y").unionByName(same)
     return pairs.select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b"))
 
 

@@ -50,6 +50,14 @@ def test_a_third_of_copies(spark):
     assert len(found(spark, rows)) == 60 * 59 // 2
 
 
+def test_copies_in_blocks_lose_nothing(spark, monkeypatch):
+    base = texts(16, 9)
+    rows = [(f"{k:02d}c{i:03d}", t) for i, t in enumerate(base) for k in range(1 + 12 * (i % 3 == 0))]
+    plain = found(spark, rows)
+    monkeypatch.setattr(nd, "COPIES", 4)
+    assert found(spark, rows) == plain == exact(rows)
+
+
 def test_empty_and_clashes(spark):
     assert found(spark, []) == set()
     df = spark.createDataFrame([("x", "一样的内容一样的内容", "r", 1), ("y", "一样的内容一样的内容", "r", 2)], "chunk_id string, text string, rep string, a int")
