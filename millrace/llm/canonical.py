@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+MEMORY = "1GB"  # of each worker's embedded database
+
 # Full-width signs that belong to Chinese punctuation and stay wide.
 WIDE_PUNCTUATION = "！（），：；？"
 # Letters that cannot be told from Latin ones, and those Latin letters.
@@ -95,7 +97,7 @@ def canonical_sql(value: str, source: str) -> str:
         FROM narrow"""
 
 
-def canonicalize(df: DataFrame, value: str, form: str = "form") -> DataFrame:
+def canonicalize(df: DataFrame, value: str, form: str = "form", memory: str = MEMORY) -> DataFrame:
     """``df`` with a column ``form``: the one form of the string column ``value``.
 
     The batch is handed to DuckDB under positional names, so columns of any name may stand beside
@@ -113,6 +115,7 @@ def canonicalize(df: DataFrame, value: str, form: str = "form") -> DataFrame:
 
         con = duckdb.connect()
         con.execute("SET threads = 1")
+        con.execute(f"SET memory_limit = '{memory}'")
         for b in batches:
             if b.num_rows:
                 con.register("batch", pa.Table.from_batches([b]))
