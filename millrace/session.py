@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,30 +14,47 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a folder that all executors share and is used as
-    it is. Only where it is unset (a local test session) a temporary folder is made.
+    it is; a cluster without it is an error. Only where it is unset in a local session, as in tests, a
+    temporary folder is made.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    folder = configured or tempfile.mkdtemp(prefix="spark-checkpoint-")
-    sc.setCheckpointDir(folder)
-    return folder
+    if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def _cuts(spark: SparkSession):
+    """The file system and the folder of this application's cuts."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/cuts-{sc.applicationId}")
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared checkpoint folder and read again, with its lineage cut.
 
     Survives the loss of executors, since the rows lie in the shared folder; compressed, and read
-    column by column.
+    column by column. The tables are deleted when the application ends, or by ``drop_cuts``.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    files, folder = _cuts(spark)
+    files.deleteOnExit(folder)
+    path = f"{folder.toString()}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete this application's cuts; DataFrames that still read them can no longer be run."""
+    files, folder = _cuts(spark)
+    files.delete(folder, True)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
 
