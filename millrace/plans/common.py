@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import text_or_empty
 from millrace.operators import evidence, retrieval
+from millrace.session import checkpoint_dir, delete_on_exit
 from millrace.sources.tables import table
 
 #: Searches take as queries every row whose id is divisible by this, against all rows.
@@ -75,6 +78,12 @@ SCORED = f"""{INDEX},
         FROM wanted JOIN idf USING (token) JOIN postings USING (token) JOIN lengths USING (chunk_id) GROUP BY query_id, chunk_id)"""
 
 
+def index(spark: SparkSession, folder: str) -> retrieval.LexicalIndex:
+    """The lexical index of the documents of ``folder``, written once for an application."""
+    path = f"{checkpoint_dir(spark)}/lexical-{spark.sparkContext.applicationId}-{hashlib.md5(folder.encode()).hexdigest()}"
+    delete_on_exit(spark, path)
+    return retrieval.LexicalIndex.saved(spark, path, lambda: retrieval.LexicalIndex(table(spark, folder, "documents"), "doc_id", "text"))
+
+
 def lexical_hits(spark: SparkSession, folder: str, k: int) -> DataFrame:
-    index = retrieval.LexicalIndex(table(spark, folder, "documents"), "doc_id", "text")
-    return index.search(asked(spark, folder), "query_id", "query", k)
+    return index(spark, folder).search(asked(spark, folder), "query_id", "query", k)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import query as qf
 from millrace.operators import retrieval
-from millrace.plans.common import EVERY, HITS, INDEX, MANIFEST, SCORED, TOKENS, asked, hits, lexical_hits, manifest, questions
+from millrace.plans.common import EVERY, HITS, INDEX, MANIFEST, SCORED, TOKENS, asked, hits, index, lexical_hits, manifest, questions
 from millrace.sources.tables import table
 
 
@@ -17,13 +17,11 @@ def tokenize(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def doc_length_stats(spark: SparkSession, folder: str) -> DataFrame:
-    index = retrieval.LexicalIndex(table(spark, folder, "documents"), "doc_id", "text")
-    return index.lengths.agg(F.count("*").alias("n"), F.round(F.avg("length"), 6).alias("mean_length"), F.max("length").alias("max_length"), F.count_if(F.col("length") == 0).alias("n_empty"))
+    return index(spark, folder).lengths.agg(F.count("*").alias("n"), F.round(F.avg("length"), 6).alias("mean_length"), F.max("length").alias("max_length"), F.count_if(F.col("length") == 0).alias("n_empty"))
 
 
 def bm25_idf(spark: SparkSession, folder: str) -> DataFrame:
-    index = retrieval.LexicalIndex(table(spark, folder, "documents"), "doc_id", "text")
-    return index.idf().select("token", "df", F.round("idf", 6).alias("idf"))
+    return index(spark, folder).idf().select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,13 +48,36 @@ def hybrid_fusion_topk(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.weighted_fusion(*_sides(spark, folder), 5)
 
 
+def _searched(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The questions searched for, with stored vectors as theirs; the vectors of passages; facts of the documents.
+
+    A stored vector stands for the document and for the question of its id, as no encoder is at hand.
+    """
+    stored = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    wanted = asked(spark, folder).join(stored.withColumnRenamed("vec_id", "query_id"), "query_id", "left")
+    rows = wanted.select("query_id", "query", F.coalesce("query_type", F.lit("factual")).alias("query_type"), "stock_code", "vector", qf.sub_queries(F.col("query")).alias("subs"))
+    kind = F.when(F.coalesce(F.col("text").rlike("可比公司|PE估值"), F.lit(False)), "comparable_table").otherwise("text")
+    facts = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "stock_code", kind.alias("content_type"))
+    return rows, stored.withColumnRenamed("vec_id", "chunk_id"), facts
+
+
+def _routed(spark: SparkSession, folder: str, rows: DataFrame, vectors: DataFrame, facts: DataFrame, k: int = 10) -> DataFrame:
+    return retrieval.route_search(rows, index(spark, folder), vectors, facts, k)
+
+
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Lexical hits of the questions, fused with their stock code's documents as a second side, in one plan."""
-    lexical = lexical_hits(spark, folder, retrieval.POOL)
-    codes = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "stock_code")
-    wanted = asked(spark, folder).select("query_id", F.col("stock_code").alias("want"))
-    both = lexical.join(codes, "chunk_id").join(wanted, "query_id")
-    return retrieval.boost_stock(retrieval.min_max(both, "query_id", "score", "normal").withColumn("score", F.col("normal")), "score", "stock_code", F.array("want")).where("rank <= 10").select("query_id", "chunk_id", "score", "rank")
+    """Dense and lexical pools of the questions searched for, fused, adjusted and cut to ten; comparisons in one pass."""
+    rows, vectors, facts = _searched(spark, folder)
+    found = _routed(spark, folder, rows.withColumn("route", F.lit("hybrid")).withColumn("subs", F.slice("subs", 1, 0)), vectors, facts)
+    return found.select("query_id", "chunk_id", "score", "rank")
+
+
+def route_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by the route of each question: dense alone, lexical alone, or both."""
+    rows, vectors, facts = _searched(spark, folder)
+    number = (F.col("query_id") / EVERY).cast("long") % 3
+    routed = rows.withColumn("route", F.when(number == 0, "vector").when(number == 1, "bm25").otherwise("hybrid")).withColumn("subs", F.slice("subs", 1, 0))
+    return _routed(spark, folder, routed, vectors, facts).select("query_id", "chunk_id", "score", "rank")
 
 
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,16 +122,14 @@ def vector_weight(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def comparative_rrf(spark: SparkSession, folder: str) -> DataFrame:
-    """Comparisons searched for once per compared name, the lists fused by reciprocal rank."""
-    subs = asked(spark, folder).select("query_id", F.posexplode(qf.sub_queries(F.col("query"))).alias("pos", "sub")).select(F.concat_ws("#", "query_id", "pos").alias("sub_id"), "query_id", "pos", F.col("sub.query").alias("text"))
-    index = retrieval.LexicalIndex(table(spark, folder, "documents"), "doc_id", "text")
-    found = index.search(subs, "sub_id", "text", retrieval.POOL)
-    lists = found.select(F.substring_index("query_id", "#", 1).cast("long").alias("query_id"), F.substring_index("query_id", "#", -1).cast("int").alias("list_id"), "chunk_id", "rank")
-    return retrieval.reciprocal_rank_fusion(lists, 10)
+    """Comparisons searched for once per compared name, dense and lexical, the lists fused by reciprocal rank."""
+    rows, vectors, facts = _searched(spark, folder)
+    compared = rows.where("size(subs) >= 2").withColumn("route", F.lit("hybrid")).withColumn("query_type", F.lit("comparative"))
+    return _routed(spark, folder, compared, vectors, facts).select("query_id", "chunk_id", "score", "rank")
 
 
 QUERIES = [
-    bm25_topk, tokenize, doc_length_stats, bm25_idf, cosine_topk, minmax_normalize, hybrid_fusion_topk, hybrid_search, rrf_fusion, fill_short, stock_boost,
+    bm25_topk, tokenize, doc_length_stats, bm25_idf, cosine_topk, minmax_normalize, hybrid_fusion_topk, hybrid_search, route_search, rrf_fusion, fill_short, stock_boost,
     comparable_penalty, query_expand, compare_entities, comparative_sub_queries, vector_weight, comparative_rrf,
 ]
 
@@ -125,6 +144,26 @@ def _has(column: str, words) -> str:
     return "(" + _ANY(f"contains({column}, '{w}')" for w in words) + ")"
 
 
+_WIDENED = "concat_ws(' ', trim(coalesce(query, '')), nullif(coalesce(stock_code, ''), ''), " + ", ".join(f"CASE WHEN {_has('query', words)} THEN '{more}' END" for words, more in qf.EXPANSIONS) + ")"
+
+
+def _hybrid_sql(route: str) -> str:
+    """Both pools of each question by its route, fused, lowered and raised, in SQL."""
+    scored = SCORED.replace(TOKENS.format("query"), TOKENS.format(_WIDENED))
+    return f"""WITH {scored},
+        routes AS (SELECT row_id AS query_id, {route} AS route, CASE WHEN query_type = 'comparative' THEN 0.45 WHEN query_type = 'summary' THEN 0.5 WHEN {_has("query", qf.NUMERIC_WORDS)} THEN 0.35 ELSE 0.5 END AS weight, trim(coalesce(stock_code, '')) AS code FROM eval_generation_detail WHERE row_id % {EVERY} = 0),
+        pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % {EVERY} = 0),
+        dense AS (SELECT * FROM (SELECT query_id, chunk_id, score, {_TOP} AS r FROM pairs JOIN routes USING (query_id) WHERE route <> 'bm25') WHERE r <= 200),
+        lexical AS (SELECT * FROM (SELECT query_id, chunk_id, score, {_TOP} AS r FROM scored JOIN routes USING (query_id) WHERE route <> 'vector' AND score > 0) WHERE r <= 200),
+        a AS (SELECT query_id, chunk_id, {_NORMAL} AS normal FROM dense WINDOW q AS (PARTITION BY query_id)), b AS (SELECT query_id, chunk_id, {_NORMAL} AS normal FROM lexical WINDOW q AS (PARTITION BY query_id)),
+        f AS (SELECT query_id, chunk_id, round(weight * coalesce(a.normal, 0) + (1 - weight) * coalesce(b.normal, 0), 6) AS score FROM a FULL JOIN b USING (query_id, chunk_id) JOIN routes USING (query_id) WHERE route = 'hybrid'),
+        e AS (SELECT * FROM f UNION ALL SELECT query_id, chunk_id, score FROM dense JOIN routes USING (query_id) WHERE route = 'vector' UNION ALL SELECT query_id, chunk_id, score FROM lexical JOIN routes USING (query_id) WHERE route = 'bm25'),
+        t AS (SELECT * FROM (SELECT query_id, chunk_id, score, {_TOP} AS r FROM e) WHERE r <= 10),
+        l AS (SELECT t.*, code, trim(coalesce(stock_code, '')) AS own, round(CASE WHEN regexp_matches(coalesce(text, ''), '可比公司|PE估值') THEN greatest(0, score - 0.1) ELSE score END, 6) AS low FROM t JOIN routes USING (query_id) LEFT JOIN documents ON doc_id = chunk_id),
+        s AS (SELECT query_id, chunk_id, round(low + CASE WHEN code <> '' AND own = code THEN 0.12 ELSE 0 END, 6) AS score FROM l)
+        SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, {_TOP} AS rank FROM s)"""
+
+
 SQL = {
     "tokenize": f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)",
     "doc_length_stats": f"WITH {INDEX} SELECT count(*) AS n, round(avg(length), 6) AS mean_length, CAST(max(length) AS INTEGER) AS max_length, count(*) FILTER (length = 0) AS n_empty FROM lengths",
@@ -139,11 +178,8 @@ SQL = {
         b AS (SELECT query_id, chunk_id, score, {_NORMAL} AS normal FROM lexical WINDOW q AS (PARTITION BY query_id)),
         f AS (SELECT query_id, chunk_id, round(0.35 * coalesce(a.normal, 0) + (1 - 0.35) * coalesce(b.normal, 0), 6) AS score, coalesce(a.score, 0) AS score_vector, coalesce(b.score, 0) AS score_bm25 FROM a FULL JOIN b USING (query_id, chunk_id))
         SELECT query_id, chunk_id, score, score_vector, score_bm25, CAST(rank AS INTEGER) AS rank FROM (SELECT *, {_TOP} AS rank FROM f) WHERE rank <= 5""",
-    "hybrid_search": f"""WITH {SCORED}, lexical AS (SELECT * FROM (SELECT query_id, chunk_id, score, {_TOP} AS r FROM scored WHERE score > 0) WHERE r <= 200),
-        n AS (SELECT query_id, chunk_id, {_NORMAL} AS normal FROM lexical WINDOW q AS (PARTITION BY query_id)),
-        s AS (SELECT n.query_id, n.chunk_id, round(normal + CASE WHEN trim(d.stock_code) = trim(e.stock_code) AND trim(e.stock_code) <> '' THEN 0.12 ELSE 0 END, 6) AS score
-            FROM n JOIN documents d ON d.doc_id = n.chunk_id JOIN eval_generation_detail e ON e.row_id = n.query_id)
-        SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, {_TOP} AS rank FROM s) WHERE rank <= 10""",
+    "hybrid_search": _hybrid_sql("'hybrid'"),
+    "route_search": _hybrid_sql(f"CASE (row_id // {EVERY}) % 3 WHEN 0 THEN 'vector' WHEN 1 THEN 'bm25' ELSE 'hybrid' END"),
     "rrf_fusion": f"""WITH {HITS}, {_DENSE}, {_LEXICAL}, lists AS (SELECT query_id, chunk_id, 1 AS list_id, {_TOP} AS rank FROM dense UNION ALL SELECT query_id, chunk_id, 2, {_TOP} FROM lexical),
         f AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score, max(list_id) AS last_list FROM lists GROUP BY query_id, chunk_id)
         SELECT query_id, chunk_id, score, last_list, CAST(rank AS INTEGER) AS rank FROM (SELECT *, {_TOP} AS rank FROM f) WHERE rank <= 5""",

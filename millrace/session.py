@@ -28,11 +28,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def _cuts(spark: SparkSession):
-    """The file system and the folder of this application's cuts."""
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/cuts-{sc.applicationId}")
-    return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
+def _place(spark: SparkSession, path: str):
+    """The file system and the path object of ``path``."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have ``path`` deleted when the application ends."""
+    files, at = _place(spark, path)
+    files.deleteOnExit(at)
+
+
+def _cuts(spark: SparkSession) -> str:
+    """The folder of this application's cuts."""
+    return f"{checkpoint_dir(spark)}/cuts-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -42,17 +52,16 @@ def cut(df: DataFrame) -> DataFrame:
     column by column. The tables are deleted when the application ends, or by ``drop_cuts``.
     """
     spark = df.sparkSession
-    files, folder = _cuts(spark)
-    files.deleteOnExit(folder)
-    path = f"{folder.toString()}/{uuid.uuid4().hex}"
+    delete_on_exit(spark, _cuts(spark))
+    path = f"{_cuts(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_cuts(spark: SparkSession) -> None:
     """Delete this application's cuts; DataFrames that still read them can no longer be run."""
-    files, folder = _cuts(spark)
-    files.delete(folder, True)
+    files, at = _place(spark, _cuts(spark))
+    files.delete(at, True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
