@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import cut
+
 # Code points that show nothing, beside the categories Z, Cc and Cf.
 _UNSEEN = r"[\p{Z}\p{Cc}\p{Cf}\s\x{34F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{2800}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}\x{180B}-\x{180F}\x{E0100}-\x{E01EF}]+"
 
@@ -58,8 +60,8 @@ def frequent_lines(lines: DataFrame, documents: DataFrame, *, document: str, sou
 
 
 def repeated_lines(units: DataFrame, documents: DataFrame, *, unit: str, document: str, source: str, text: str, min_documents: int = 4, min_share: float = 0.2) -> DataFrame:
-    """(unit, line_no) of every occurrence of a frequent line, once each."""
-    lines = hashed_lines(units, documents, unit=unit, document=document, source=source, text=text)
+    """(unit, line_no) of every occurrence of a frequent line, once each; the hashed lines are written once for both uses."""
+    lines = cut(hashed_lines(units, documents, unit=unit, document=document, source=source, text=text))
     frequent = frequent_lines(lines, documents, document=document, source=source, min_documents=min_documents, min_share=min_share)
     hits = lines.join(frequent.select("source", "line"), ["source", "line"], "left_semi")
     return hits.select(F.col("unit").alias(unit), "line_no").distinct()
