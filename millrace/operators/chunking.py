@@ -2,7 +2,7 @@
 
 Units are rows (doc_id, pos, text, section_title, unit_type, is_noise, page_number, ...); ``pos`` orders a
 document's units. Work on sequences goes by document, whose units are bounded by the size of a report; no
-operator gathers more than one document's units in a task's memory.
+operator gathers more than one document's units in a task's memory, and packing only their sizes.
 """
 
 from __future__ import annotations
@@ -10,12 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from millrace.functions import text as tx
+from millrace.session import cut
 
 # Sizes of chunks in tokens.
 TARGET_MIN, TARGET_MAX, HARD_MAX, OVERLAP, MIN_TOKENS, TABLE_MAX = 120, 480, 512, 20, 40, 440
@@ -52,31 +54,81 @@ def first_by_position(items: DataFrame, group: str, order: list[str], values: li
     return items.groupBy(group).agg(*[F.min_by(F.when(given(c), F.col(c)), F.when(given(c), place)).alias(c) for c in values])
 
 
-def pack_units(units: DataFrame) -> DataFrame:
-    """``units`` with ``group_no``: text units of one section packed up to ``TARGET_MAX`` tokens; tables and noise stand alone.
+def _groups(sections: list, apart: list, single: list, sizes: list) -> list[int]:
+    """The group numbers of one document's units in order.
 
-    The packing is greedy in the order of a document, and so goes by document; only positions, sizes and
-    flags are handed over, not the text.
+    Units ``apart`` (tables, noise) and ``single`` (pieces of an oversized unit) stand alone. Others of one section
+    fill a group up to ``TARGET_MAX`` tokens, up to ``HARD_MAX`` while it is under ``TARGET_MIN``. A text group under
+    ``TARGET_MIN`` then joins the one before it, if that is text of the same section and both fit into ``HARD_MAX``.
     """
-    sized = units.select("doc_id", "pos", F.coalesce("section_title", F.lit("")).alias("section"), F.col("unit_type").eqNullSafe("table").alias("is_table"),
-                         F.coalesce("is_noise", F.lit(False)).alias("noise"), token_count(F.col("text")).alias("n"))
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        groups, group, size, section = [], 0, 0, None
-        for is_table, noise, n, title in zip(rows.is_table, rows.noise, rows.n, rows.section, strict=True):
-            alone = is_table or noise
-            fits = not alone and size and title == section and (size + n <= TARGET_MAX or (size < TARGET_MIN and size + n <= HARD_MAX))
-            if not fits:
-                group += 1
-                size = 0
-            groups.append(group)
-            size, section = (0, None) if alone else (size + n, title)
-        return pd.DataFrame({"doc_id": rows.doc_id, "pos": rows.pos, "group_no": groups})
+    groups: list[list] = []  # units, tokens, whether it is text, section
+    is_open = False
+    for section, alone, piece, n in zip(sections, apart, single, sizes, strict=True):
+        last = groups[-1] if groups and is_open else None
+        fits = last and not (alone or piece) and last[3] == section and last[1] + n <= (HARD_MAX if last[1] < TARGET_MIN else TARGET_MAX)
+        if fits:
+            last[0] += 1
+            last[1] += n
+        else:
+            groups.append([1, n, not alone, section])
+        is_open = not (alone or piece)
+    out: list[int] = []
+    before, number = None, 0
+    for units, n, is_text, section in groups:
+        if before and is_text and n < TARGET_MIN and before[1] and before[2] == section and before[0] + n <= HARD_MAX:
+            before[0] += n
+        else:
+            number += 1
+            before = [n, is_text, section]
+        out += [number] * units
+    return out
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, pos, part, section, apart, single, n), the rows of a document together and in order -> (doc_id, pos, part, group_no)."""
+    held: list[pa.RecordBatch] = []
+
+    def numbered(table: pa.Table) -> pa.RecordBatch:
+        group, doc = [], table.column("doc_id").to_pylist()
+        cols = [table.column(c).to_pylist() for c in ("section", "apart", "single", "n")]
+        edges = [0, *[i for i in range(1, len(doc)) if doc[i] != doc[i - 1]], len(doc)]
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            group += _groups(*[c[x:y] for c in cols])
+        whole = table.combine_chunks()
+        return pa.RecordBatch.from_arrays([*[whole.column(c).combine_chunks() for c in ("doc_id", "pos", "part")], pa.array(group, pa.int32())], names=["doc_id", "pos", "part", "group_no"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        doc = b.column("doc_id").to_pylist()
+        stop = next((i for i in range(len(doc), 0, -1) if doc[i - 1] != doc[-1]), 0)  # the last document may go on
+        before = pa.Table.from_batches([*held, b.slice(0, stop)])
+        if held and held[0].column("doc_id")[0].as_py() == doc[-1]:
+            held.append(b)
+            continue
+        if before.num_rows:
+            yield numbered(before)
+        held = [b.slice(stop)]
+    if held:
+        yield numbered(pa.Table.from_batches(held))
+
 
+def pack_units(units: DataFrame) -> DataFrame:
+    """``units`` with ``part`` and ``group_no``: text units of one section packed by ``_groups``; tables and noise stand alone.
+
+    Text units beyond ``HARD_MAX`` tokens come in pieces, a row each. The packing is greedy in the order of a
+    document; only positions, sizes and flags are sorted by document, and the numbers joined back once.
+    """
+    table = F.col("unit_type").eqNullSafe("table")
+    split = units.where(~table & (token_count(F.col("text")) > HARD_MAX))
+    kept = units.where(table | ~(token_count(F.col("text")) > HARD_MAX)).withColumn("part", F.lit(1))
+    parts = kept.withColumn("single", F.lit(False)).unionByName(split_units(split).withColumn("single", F.lit(True)))
+    parts = cut(parts)
+    sized = parts.select("doc_id", "pos", "part", F.coalesce("section_title", F.lit("")).alias("section"), (table | F.coalesce("is_noise", F.lit(False))).alias("apart"), "single", token_count(F.col("text")).alias("n"))
     doc, pos = units.schema["doc_id"].dataType, units.schema["pos"].dataType
-    schema = T.StructType([T.StructField("doc_id", doc), T.StructField("pos", pos), T.StructField("group_no", T.IntegerType())])
-    return units.join(sized.groupBy("doc_id").applyInPandas(pack, schema), ["doc_id", "pos"])
+    schema = T.StructType([T.StructField("doc_id", doc), T.StructField("pos", pos), T.StructField("part", T.IntegerType()), T.StructField("group_no", T.IntegerType())])
+    placed = sized.repartition("doc_id").sortWithinPartitions("doc_id", "pos", "part").mapInArrow(_packed, schema)
+    return parts.drop("single").join(placed, ["doc_id", "pos", "part"])
 
 
 def numbered(doc_id: Column, number: Column) -> Column:
@@ -85,14 +137,16 @@ def numbered(doc_id: Column, number: Column) -> Column:
 
 
 def chunk_groups(packed: DataFrame) -> DataFrame:
-    """(doc_id, group_no, chunk_id, section_title, text, pages, unit_count, token_count) of packed units."""
-    parts = packed.groupBy("doc_id", "group_no").agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text")))).alias("parts"),
-        F.min_by("section_title", "pos").alias("section_title"), F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"), F.count("*").alias("unit_count"),
+    """(doc_id, group_no, chunk_id, section_title, text, pages, unit_count, unit_types, is_noise, first_pos, token_count) of packed units."""
+    has = lambda c, other: F.col(c) if c in packed.columns else other
+    parts = packed.withColumns({"part": has("part", F.lit(1)), "unit_type": has("unit_type", F.lit("paragraph")), "is_noise": has("is_noise", F.lit(False))}).groupBy("doc_id", "group_no").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "part", F.coalesce("text", F.lit("")).alias("text")))).alias("parts"), F.min_by("section_title", F.struct("pos", "part")).alias("section_title"),
+        F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"), F.array_sort(F.collect_set("page_number")).alias("pdf_page_numbers"), F.count("*").alias("unit_count"),
+        F.array_sort(F.collect_set("unit_type")).alias("unit_types"), F.coalesce(F.bool_or("is_noise"), F.lit(False)).alias("is_noise"), F.min(F.struct("pos", "part")).alias("first_pos"),
     )
     text = F.array_join(F.filter("parts.text", lambda x: x != ""), "\n\n")
     chunk_id = numbered(F.col("doc_id"), F.col("group_no"))
-    return parts.select("doc_id", "group_no", chunk_id.alias("chunk_id"), "section_title", text.alias("text"), "page_start", "page_end", "unit_count").withColumn("token_count", token_count(F.col("text")))
+    return parts.select("doc_id", "group_no", chunk_id.alias("chunk_id"), "section_title", text.alias("text"), "page_start", "page_end", "pdf_page_numbers", "unit_count", "unit_types", "is_noise", "first_pos").withColumn("token_count", token_count(F.col("text")))
 
 
 def islands(rows: DataFrame, group: str, order: str, member: Column, key: str | None = None) -> DataFrame:
@@ -167,20 +221,30 @@ def split_units(units: DataFrame, budget: int = HARD_MAX, overlap: int = OVERLAP
 
 
 def table_cells(tables: DataFrame, key: str) -> DataFrame:
-    """(key, row_no, indicator, column_no, column, value): a table's cells by its header's value columns."""
+    """(key, row_no, indicator, column_no, column, value): a table's cells by its header's value columns.
+
+    Rows that are labelled by a year, and cells beyond the header's columns, say nothing and are left out.
+    """
     columns = tx.value_columns(F.col("table_header"))
     rows = tables.select(key, columns.alias("columns"), F.posexplode("table_rows").alias("row_no", "row"))
     cells = rows.withColumn("cells", tx.cells_of(F.col("row"))).where(F.size("cells") > 1)
     values = F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(1)))
     pairs = cells.select(key, "row_no", F.get("cells", F.lit(0)).alias("indicator"), "columns", F.posexplode(values).alias("column_no", "value"))
-    return pairs.select(key, "row_no", "indicator", "column_no", F.coalesce(F.get("columns", F.col("column_no")), F.lit("")).alias("column"), "value")
+    named = pairs.where((F.col("column_no") < F.size("columns")) & ~F.regexp_replace("indicator", " ", "").rlike(tx.YEAR_COLUMN))
+    return named.select(key, "row_no", "indicator", "column_no", F.get("columns", F.col("column_no")).alias("column"), "value")
+
+
+def cell_sentences(tables: DataFrame, key: str, unit: Column) -> DataFrame:
+    """(key, row_no, column_no, sentence, value): a sentence for each cell that holds a figure."""
+    cells = table_cells(tables, key).join(tables.select(key, unit.alias("table_unit")), key)
+    value = tx.clean_number(F.col("value"))
+    said = tx.narrative(F.col("column"), F.col("indicator"), F.col("value"), tx.indicator_unit(F.col("indicator"), F.col("table_unit"), value))
+    return cells.select(key, "row_no", "column_no", said.alias("sentence"), "value")
 
 
 def table_narrative(tables: DataFrame, key: str, unit: Column) -> DataFrame:
     """(key, narrative, n_sentences): what a table says, a sentence a cell, in the order of its rows and columns."""
-    cells = table_cells(tables.withColumn("_unit", unit), key).join(tables.select(key, unit.alias("table_unit")), key)
-    said = tx.narrative(F.col("column"), F.col("indicator"), F.col("value"), tx.indicator_unit(F.col("indicator"), F.col("table_unit"), F.col("value")))
-    kept = cells.withColumn("sentence", said).where(tx.narrative_is_valid(F.col("sentence"), F.col("value")))
+    kept = cell_sentences(tables, key, unit).where(tx.narrative_is_valid(F.col("sentence"), F.col("value")))
     parts = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("row_no", "column_no", "sentence"))).alias("p"))
     return parts.select(key, F.array_join("p.sentence", "；").alias("narrative"), F.size("p").alias("n_sentences"))
 

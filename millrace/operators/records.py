@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import text as tx
-from millrace.operators.chunking import HARD_MAX, TABLE_MAX, table_narrative, token_count
+from millrace.operators.chunking import TABLE_MAX, cell_sentences, chunk_groups, islands, numbered, pack_units, token_count
+from millrace.session import cut
 
 # How tables and sections of appendices are known, units of rows, labels that are no product.
 FINANCIAL_TABLE = r"利润表|资产负债表|现金流量表|财务预测|盈利预测|估值|三大报表|附录|损益表|财务状况表|财务指标|比率分析|分产品|分业务"
@@ -20,6 +21,8 @@ SELF_TITLED = r"图\d+|表\d+|图表\d+|比率分析|分产品|分业务|盈利
 MISLEADING_SECTION = r"风险提示|核心风险|免责声明|分析师|投资评级说明|比率分析"
 APPENDIX = r"附录|三大报表|财务报表预测|盈利预测与估值"
 ROW_UNITS = ("百万元", "亿元", "万元", "%", "％", "倍", "元", "元/股")
+LISTED_HEADER = r"股票代码.*公司简称|EPS\s*[（(].*PE\s*[（(]"
+MIXED_CELL, PLAIN_CELL = r"[一-鿿]{2,}.*[\d,.]+|[\d,.]+.*[一-鿿]{2,}", r"^[一-鿿A-Za-z0-9（）().\-\s]+$"
 NO_PRODUCT = ("营收", "YoY", "占比", "毛利率", "销售毛利率")
 # What an answer's prompt says by type of question.
 TYPE_HINTS = {
@@ -65,21 +68,22 @@ def is_complex_table(caption: Column, header: Column, rows: Column, section: Col
     """Whether a table has no plain reading by row and column."""
     comparable = tx.is_comparable_table(caption, header)
     label = F.concat_ws(" ", *map(tx.text_or_empty, (caption, section, header)))
-    mixed = r"[一-鿿]{2,}.*[\d,.]+|[\d,.]+.*[一-鿿]{2,}"
-    corrupt = F.exists(F.flatten(F.transform(F.coalesce(rows, F.array().cast("array<string>")), tx.cells_of)), lambda c: c.rlike(mixed) & ~c.rlike(r"^[一-鿿A-Za-z0-9（）().\-\s]+$"))
-    listed = tx.text_or_empty(header).rlike(r"股票代码.*公司简称|EPS\s*[（(].*PE\s*[（(]") | tx.text_or_empty(F.get(rows, F.lit(0))).rlike("股票代码")
-    return ~comparable & ~is_unit_column_table(header) & (label.rlike("可比公司|PE估值") | listed | F.coalesce(corrupt, F.lit(False)))
+    corrupt = F.exists(F.flatten(F.transform(F.coalesce(rows, F.array().cast("array<string>")), tx.cells_of)), lambda c: c.rlike(MIXED_CELL) & ~c.rlike(PLAIN_CELL))
+    listed = tx.text_or_empty(header).rlike(LISTED_HEADER) | tx.text_or_empty(F.get(rows, F.lit(0))).rlike("股票代码")
+    two = F.slice(F.coalesce(rows, F.array().cast("array<string>")), 1, 2)
+    years = lambda r: F.size(tx.year_columns(r))
+    multiples = tx.text_or_empty(header).rlike("EPS|PE") & F.coalesce(F.exists(two, lambda r: years(r) >= 4), F.lit(False))
+    return ~comparable & ~is_unit_column_table(header) & (label.rlike("可比公司|PE估值") | listed | multiples | F.coalesce(corrupt, F.lit(False)))
 
 
-def _joined(sentences: DataFrame, key: str) -> DataFrame:
-    """(key, narrative) of valid sentences (key, row_no, column_no, sentence, value)."""
-    kept = sentences.where(tx.narrative_is_valid(F.col("sentence"), F.col("value")))
-    parts = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("row_no", "column_no", "sentence"))).alias("p"))
-    return parts.select(key, F.array_join("p.sentence", "；").alias("narrative"))
+def joined(sentences: DataFrame, key: str) -> DataFrame:
+    """(key, narrative) of sentences (key, row_no, column_no, sentence), if the whole makes no claim whose unit cannot be right."""
+    parts = sentences.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("row_no", "column_no", "sentence"))).alias("p"))
+    return parts.select(key, F.array_join("p.sentence", "；").alias("narrative")).where(tx.units_are_valid(F.col("narrative")))
 
 
-def comparable_narrative(tables: DataFrame, key: str) -> DataFrame:
-    """(key, narrative) of tables of comparable companies: three years of earnings and three of multiples for each."""
+def comparable_sentences(tables: DataFrame, key: str) -> DataFrame:
+    """(key, row_no, column_no, sentence, value) of tables of comparable companies: three years of earnings and three of multiples for each."""
     years = tx.year_columns(F.col("table_header"))
     rows = tables.select(key, years.alias("years"), F.posexplode("table_rows").alias("row_no", "row")).withColumn("cells", tx.cells_of(F.col("row")))
     order = Window.partitionBy(key).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -95,11 +99,11 @@ def comparable_narrative(tables: DataFrame, key: str) -> DataFrame:
     kind = F.when(F.col("column_no") < 3, F.lit("EPS")).otherwise(F.lit("PE"))
     unit = F.when(F.col("column_no") < 3, F.lit("元/股")).otherwise(F.lit("倍"))
     said = F.concat("name", F.lit(" "), F.get("years", F.col("column_no")), F.lit(" "), kind, F.lit("为"), tx.clean_number(F.col("value")), unit)
-    return _joined(named.withColumn("sentence", said), key)
+    return named.select(key, "row_no", "column_no", said.alias("sentence"), "value")
 
 
-def unit_column_narrative(tables: DataFrame, key: str) -> DataFrame:
-    """(key, narrative) of tables whose rows carry their unit; a row of one cell names the product of those below it."""
+def unit_column_sentences(tables: DataFrame, key: str) -> DataFrame:
+    """(key, row_no, column_no, sentence, value) of tables whose rows carry their unit; a row of one cell names the product of those below it."""
     rows = tables.select(key, "table_caption", tx.year_columns(F.col("table_header")).alias("years"), F.posexplode("table_rows").alias("row_no", "row"))
     rows = rows.withColumn("cells", tx.cells_of(F.col("row"))).where((F.size("cells") > 0) & (F.size("years") > 0) & (F.get("cells", F.lit(0)) != "合计"))
     lone = (F.size("cells") == 1) & ~F.get("cells", F.lit(0)).isin(*NO_PRODUCT) & ~F.get("cells", F.lit(0)).rlike(tx.YEAR_COLUMN)
@@ -109,51 +113,149 @@ def unit_column_narrative(tables: DataFrame, key: str) -> DataFrame:
     unit = F.when(F.get("cells", F.lit(1)).isin("%", "％"), "%").otherwise(F.get("cells", F.lit(1)))
     cells = rows.select(key, "row_no", "years", F.concat("product", F.get("cells", F.lit(0))).alias("label"), unit.alias("unit"), F.posexplode(F.slice("cells", 3, F.size("cells"))).alias("column_no", "value"))
     cells = cells.where(F.col("column_no") < F.size("years"))
-    return _joined(cells.withColumn("sentence", tx.narrative(F.get("years", F.col("column_no")), F.col("label"), F.col("value"), F.col("unit"))), key)
+    said = tx.narrative(F.get("years", F.col("column_no")), F.col("label"), F.col("value"), F.col("unit"))
+    return cells.select(key, "row_no", "column_no", said.alias("sentence"), "value")
 
 
-def key_value_narrative(tables: DataFrame, key: str) -> DataFrame:
-    """(key, narrative) of tables without years: each row's first cell and its last."""
+def key_value_sentences(tables: DataFrame, key: str) -> DataFrame:
+    """(key, row_no, column_no, sentence, value) of tables whose columns are no years: each row's first cell and its last."""
     rows = tables.select(key, tx.unit_named_in(F.col("table_caption")).alias("table_unit"), F.posexplode("table_rows").alias("row_no", "row")).withColumn("cells", tx.cells_of(F.col("row"))).where(F.size("cells") >= 2)
     value, name = F.element_at("cells", -1), F.get("cells", F.lit(0))
     said = tx.narrative(F.lit(""), name, value, tx.indicator_unit(name, F.col("table_unit"), tx.clean_number(value)))
-    return _joined(rows.select(key, "row_no", F.lit(0).alias("column_no"), said.alias("sentence"), value.alias("value")), key)
+    return rows.select(key, "row_no", F.lit(0).alias("column_no"), said.alias("sentence"), value.alias("value"))
 
 
-def narratives(tables: DataFrame, key: str) -> DataFrame:
-    """(key, narrative) of every table that has one, by its kind."""
+def sentences(tables: DataFrame, key: str) -> DataFrame:
+    """(key, row_no, column_no, sentence) of every table that has a reading, by its kind.
+
+    Complex tables and tables without years have none. Sentences without a figure or with a claim whose unit
+    cannot be right are left out.
+    """
     c, h, r, s = F.col("table_caption"), F.col("table_header"), F.col("table_rows"), F.col("section_title")
-    years = F.exists(tx.value_columns(h), lambda x: F.regexp_replace(x, " ", "").rlike(tx.YEAR_COLUMN))
+    is_year = lambda x: F.regexp_replace(tx.text_or_empty(x), " ", "").rlike(tx.YEAR_COLUMN)
+    first = lambda row: F.regexp_extract(tx.text_or_empty(row), r"^\s*([^|]*?)\s*(?:\||$)", 1)
+    years = F.exists(tx.value_columns(h), is_year) | F.coalesce(F.exists(r, lambda row: is_year(first(row))), F.lit(False))
     kind = (
-        F.when(tx.is_comparable_table(c, h), "comparable").when(is_unit_column_table(h), "unit").when(is_complex_table(c, h, r, s), "none").when(F.coalesce(years, F.lit(False)), "years").otherwise("pairs")
-    )
-    typed = tables.withColumn("_kind", kind)
+        F.when(tx.is_comparable_table(c, h), "comparable").when(is_unit_column_table(h), "unit").when(is_complex_table(c, h, r, s), "none")
+        .when(F.coalesce(years, F.lit(False)), "years").when(F.size(tx.year_columns(h)) > 0, "pairs").otherwise("none")
+    )
+    typed = tables.select(key, "table_caption", "table_header", "table_rows", kind.alias("_kind"))
     of = lambda k: typed.where(F.col("_kind") == k).drop("_kind")
-    plain = table_narrative(of("years"), key, tx.unit_named_in(c)).select(key, "narrative")
-    return comparable_narrative(of("comparable"), key).unionByName(unit_column_narrative(of("unit"), key)).unionByName(plain).unionByName(key_value_narrative(of("pairs"), key))
+    every = comparable_sentences(of("comparable"), key).unionByName(unit_column_sentences(of("unit"), key))
+    every = every.unionByName(cell_sentences(of("years"), key, tx.unit_named_in(c))).unionByName(key_value_sentences(of("pairs"), key))
+    return every.where(tx.narrative_is_valid(F.col("sentence"), F.col("value"))).drop("value")
 
 
-def table_parts(tables: DataFrame, key: str, budget: int = TABLE_MAX) -> DataFrame:
-    """(key, part_index, part_count, rows): a table's rows in parts whose tokens, with the context before each, stay within ``budget``.
+def narratives(tables: DataFrame, key: str) -> DataFrame:
+    """(key, narrative) of every table that has one, by its kind."""
+    return joined(sentences(tables, key), key)
+
 
-    ``tables`` has the context's size as ``context_tokens``. Rows fill parts in order; a row too large for any
-    part stands alone. The place of a row follows from a running sum, folded over the table's own row sizes.
+def table_parts(tables: DataFrame, key: str, said: DataFrame, budget: int = TABLE_MAX) -> DataFrame:
+    """(key, part_index, part_count, rows, narrative): a table's rows in parts that, with the context before each, stay within ``budget`` tokens.
+
+    ``tables`` has the context's size as ``context_tokens``; ``said``: its ``sentences``. A row counts with its
+    sentences where the table has a reading, else with itself. Rows fill parts in order; a row too large for any
+    part stands alone, and a table whose context leaves no room is one part.
     """
-    sizes = F.transform(F.coalesce("table_rows", F.array().cast("array<string>")), lambda r: token_count(r))
-    room = F.greatest(F.lit(budget) - F.col("context_tokens"), F.lit(1))
+    spoken = said.groupBy(key, "row_no").agg(F.sum(token_count(F.col("sentence"))).alias("n_said"), F.array_sort(F.collect_list(F.struct("column_no", "sentence"))).alias("own"))
+    spoken = spoken.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("row_no", F.struct("n_said", F.array_join("own.sentence", "；").alias("said"))))).alias("_said"))
+    none = F.array().cast("array<string>")
+    both = tables.join(spoken, key, "left").withColumn("_rows", F.coalesce("table_rows", none))
+    rows = F.transform("_rows", lambda r, i: F.struct(r.alias("row"), F.try_element_at("_said", i).alias("own")))
+    rows = F.transform(rows, lambda z: F.struct(z["row"].alias("row"), F.when(F.col("_said").isNull(), token_count(z["row"])).otherwise(F.coalesce(z["own"]["n_said"], F.lit(0)).cast("int")).alias("n"), z["own"]["said"].alias("said")))
     start = F.struct(F.lit(0).alias("part"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("parts"))
 
-    def step(acc: Column, n: Column) -> Column:
-        fits = (acc["part"] > 0) & (acc["used"] + n <= F.col("_room"))
+    def step(acc: Column, z: Column) -> Column:
+        fits = (acc["part"] > 0) & ((acc["used"] + z["n"] <= F.col("_room")) | (F.col("_room") <= 0))
         part = F.when(fits, acc["part"]).otherwise(acc["part"] + 1)
-        return F.struct(part.alias("part"), F.when(fits, acc["used"] + n).otherwise(n).alias("used"), F.concat(acc["parts"], F.array(part)).alias("parts"))
+        return F.struct(part.alias("part"), F.when(fits, acc["used"] + z["n"]).otherwise(z["n"]).alias("used"), F.concat(acc["parts"], F.array(part)).alias("parts"))
 
-    placed = tables.withColumn("_room", room).withColumn("_sizes", sizes)
-    placed = placed.withColumn("_parts", F.aggregate("_sizes", start, step, lambda a: a["parts"]))
+    placed = both.select(key, rows.alias("_rows"), (F.lit(budget) - F.col("context_tokens")).alias("_room"))
+    placed = placed.withColumn("_parts", F.aggregate("_rows", start, step, lambda a: a["parts"]))
     count = F.greatest(F.coalesce(F.array_max("_parts"), F.lit(0)), F.lit(1))
-    rows = placed.select(key, count.alias("part_count"), "_parts", "table_rows", F.explode(F.sequence(F.lit(1), count)).alias("part_index"))
-    own = F.transform(F.filter(F.arrays_zip("table_rows", "_parts"), lambda z: z["_parts"] == F.col("part_index")), lambda z: z["table_rows"])
-    return rows.select(key, "part_index", "part_count", own.alias("rows"))
+    each = placed.select(key, count.alias("part_count"), F.arrays_zip("_rows", "_parts").alias("_zip"), F.explode(F.sequence(F.lit(1), count)).alias("part_index"))
+    own = F.filter("_zip", lambda z: z["_parts"] == F.col("part_index"))
+    said_ = F.array_join(F.filter(F.transform(own, lambda z: z["_rows"]["said"]), lambda x: F.coalesce(x != "", F.lit(False))), "；")
+    out = each.select(key, "part_index", "part_count", F.transform(own, lambda z: z["_rows"]["row"]).alias("rows"), said_.alias("narrative"))
+    return out.withColumn("narrative", F.when(tx.units_are_valid(F.col("narrative")), F.col("narrative")).otherwise(""))
+
+
+def trimmed(context: Column, body: Column, budget: int = TABLE_MAX) -> Column:
+    """Context and body, the body cut behind as many tokens as ``budget`` leaves for it, 64 at least."""
+    whole = F.concat_ws("\n\n", F.nullif(context, F.lit("")), F.nullif(body, F.lit("")))
+    room = F.greatest(F.lit(budget - 1) - token_count(context), F.lit(64))
+    head = F.concat(F.lit(r"(?s)\A(?:[^㐀-䶿一-鿿A-Za-z0-9]*+(?:[㐀-䶿一-鿿]|[A-Za-z0-9]++)){1,"), room.cast("string"), F.lit("}"))
+    short = F.concat_ws("\n\n", F.nullif(context, F.lit("")), F.regexp_substr(body, head))
+    return F.when(token_count(whole) > budget, short).otherwise(whole)
+
+
+def text_chunks(units: DataFrame) -> DataFrame:
+    """The chunks of a document's text units, packed, cleaned and told from noise; oversized units in pieces."""
+    groups = chunk_groups(pack_units(units.where(~F.col("unit_type").eqNullSafe("table")).select("doc_id", "pos", "text", "section_title", "unit_type", "is_noise", "page_number")))
+    made = groups.withColumn("p", tx.prepared(F.col("text"), F.col("is_noise")))
+    return made.select(
+        "doc_id", F.col("first_pos.pos").alias("pos"), F.col("first_pos.part").alias("part"), "section_title", "text", F.col("p.embedding_text").alias("embedding_text"), F.col("p.content_type").alias("content_type"),
+        F.col("p.is_retrievable").alias("is_retrievable"), "pdf_page_numbers", "unit_count", "unit_types", F.lit("").alias("table_raw"), F.lit("").alias("table_id"), F.lit(0).alias("table_part_index"), F.lit(0).alias("table_part_count"),
+    )
+
+
+def table_chunks(units: DataFrame, documents: DataFrame, budget: int = TABLE_MAX) -> DataFrame:
+    """The chunks of a document's tables: their rows in parts, each with its context, its raw text and what it says."""
+    c = F.col
+    fields = documents.select("doc_id", "company_name", "stock_code", "broker", "report_title")
+    unit = F.coalesce(*[F.nullif(tx.unit_named_in(c(x)), F.lit("")) for x in ("table_caption", "table_header", "text")], F.lit(""))
+    rows = units.where(c("unit_type") == "table").join(fields, "doc_id", "left").withColumn("_unit", unit)
+    context = table_context(c("company_name"), c("stock_code"), c("broker"), c("report_title"), c("section_title"), c("table_caption"), c("_unit"), c("table_header"), c("page_number"))
+    rows = cut(rows.withColumn("context", context).withColumn("context_tokens", token_count(context)).withColumn("unit_key", F.struct("doc_id", "pos")))
+    parts = table_parts(rows, "unit_key", cut(sentences(rows, "unit_key")), budget)
+    whole = rows.drop("table_rows").join(parts, "unit_key")
+    last = c("part_index") == c("part_count")
+    raw = F.when(F.size("rows") == 0, tx.text_or_empty(c("text"))).otherwise(table_raw(c("table_caption"), c("table_header"), c("rows"), F.when(last, c("table_footnote"))))
+    plain = table_raw(c("table_caption"), c("table_header"), F.when(F.size("rows") > 0, c("rows")).otherwise(F.filter(F.array("table_header"), lambda x: tx.text_or_empty(x) != "")))
+    body = F.coalesce(F.nullif(c("narrative"), F.lit("")), plain)
+    noise = F.coalesce("is_noise", F.lit(False))
+    kind = F.when(noise, "noise").when(tx.is_comparable_table(c("table_caption"), c("table_header")), "comparable_table").otherwise("table")
+    return whole.select(
+        "doc_id", "pos", c("part_index").alias("part"), "section_title", raw.alias("text"), trimmed(c("context"), body, budget).alias("embedding_text"), kind.alias("content_type"), (~noise).alias("is_retrievable"),
+        F.when(c("page_number").isNull(), F.array().cast("array<int>")).otherwise(F.array("page_number")).alias("pdf_page_numbers"), F.lit(1).cast("long").alias("unit_count"), F.array("unit_type").alias("unit_types"), raw.alias("table_raw"),
+        tx.text_or_empty(c("table_id")).alias("table_id"), c("part_index").alias("table_part_index"), c("part_count").alias("table_part_count"),
+    )
+
+
+def merged_appendices(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with consecutive retrievable ones of appendix sections as one: texts joined, pages united, the rest of the first."""
+    member = F.coalesce(F.col("section_title").rlike(APPENDIX) & F.col("is_retrievable"), F.lit(False))
+    numbered_ = islands(chunks.withColumn("_at", F.struct("pos", "part")), "doc_id", "_at", member)
+    other = [x for x in chunks.columns if x not in ("doc_id", "pos", "part", "text", "embedding_text", "pdf_page_numbers", "unit_count")]
+    texts = F.array_sort(F.collect_list(F.struct("_at", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("embedding_text", F.lit("")).alias("embedding_text")))).alias("_texts")
+    groups = numbered_.groupBy("doc_id", "island").agg(
+        F.min("_at").alias("_at"), texts, F.array_sort(F.array_distinct(F.flatten(F.collect_list("pdf_page_numbers")))).alias("pdf_page_numbers"), F.sum("unit_count").alias("unit_count"),
+        *[F.min_by(x, "_at").alias(x) for x in other],
+    )
+    joined_ = lambda x: F.array_join(F.filter(F.col(f"_texts.{x}"), lambda t: t != ""), "\n").alias(x)
+    return groups.select("doc_id", F.col("_at.pos").alias("pos"), F.col("_at.part").alias("part"), joined_("text"), joined_("embedding_text"), "pdf_page_numbers", "unit_count", *other)
+
+
+def document_chunks(units: DataFrame, documents: DataFrame) -> DataFrame:
+    """All chunk records of ``documents`` from their ``units`` (doc_id, pos, text, section_title, unit_type, page_number, table_...).
+
+    Noise is told from the text anew. Text is packed, tables are read and split, appendices merged, chunks
+    numbered in order; each document with a rating has a headline of its own before them. Texts of less than two
+    characters are left out. Documents without units give their headline alone.
+    """
+    c = F.col
+    legend = c("unit_type").eqNullSafe("table") & tx.is_rating_standard_table(c("text"), c("section_title"), c("table_caption"), c("table_header"))
+    clean = units.withColumn("text", tx.normalize_text(c("text"))).where(F.length("text") >= 2).withColumn("is_noise", tx.is_noise_text(c("text"), c("section_title")) | legend)
+    clean = cut(clean)
+    body = merged_appendices(text_chunks(clean).unionByName(table_chunks(clean, documents)))
+    w = Window.partitionBy("doc_id").orderBy("pos", "part")
+    body = body.withColumn("chunk_id", numbered(c("doc_id"), F.row_number().over(w))).drop("pos", "part")
+    head = rating_headlines(documents).withColumns({
+        "embedding_text": tx.repair_units(tx.drop_analyst_lines(c("text"))), "is_retrievable": F.lit(True), "pdf_page_numbers": F.array(F.lit(1)), "unit_count": F.lit(1).cast("long"), "unit_types": F.array(F.lit("rating_headline")),
+        "table_raw": F.lit(""), "table_id": F.lit(""), "table_part_index": F.lit(0), "table_part_count": F.lit(0),
+    })
+    return chunk_records(body.unionByName(head), documents)
 
 
 def rating_headlines(documents: DataFrame) -> DataFrame:
@@ -167,11 +269,15 @@ def rating_headlines(documents: DataFrame) -> DataFrame:
 
 
 def chunk_records(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Chunks (doc_id, chunk_id, section_title, text, content_type, ...) with their document's fields and sizes."""
-    fields = documents.select("doc_id", "filename", "display_name", "company_name", "stock_code", "broker", "report_title", "report_date", "rating", "industry_label")
-    return chunks.join(fields, "doc_id", "left").withColumns(
-        {"char_count": F.length("text"), "token_count": token_count(F.col("text")), "over": token_count(F.col("text")) > HARD_MAX, "contains_table": F.col("content_type") == "table"}
-    )
+    """Chunks with their document's fields, pages and sizes: the record of a retrieval store."""
+    c = F.col
+    name = tx.display_name(*map(c, ("company_name", "stock_code", "report_title", "broker", "report_date", "rating", "industry_label", "filename")))
+    own = ("filename", "industry", "industry_label", "source_pdf_path", "company_name", "stock_code", "broker", "report_title", "report_date", "rating")
+    fields = documents.select("doc_id", *[tx.text_or_empty(c(x)).alias(x) for x in own]).withColumn("display_name", name)
+    return chunks.join(fields, "doc_id", "left").withColumns({
+        "chunk_method": F.lit("structure"), "page_start": F.array_min("pdf_page_numbers"), "page_end": F.array_max("pdf_page_numbers"), "contains_table": c("content_type") == "table",
+        "char_count": F.length("text"), "token_count": token_count(c("text")), "embedding_char_count": F.length("embedding_text"), "embedding_token_count": token_count(c("embedding_text")),
+    })
 
 
 def prompt(query: Column, query_type: Column, blocks: Column, names: Column) -> Column:

@@ -169,14 +169,15 @@ SQL = {
     "appendix_islands": f"""WITH {UNITS}, f AS (SELECT doc_id, unit_id, coalesce(text, '') AS t, CASE WHEN unit_type = 'table' AND coalesce(lag(unit_type = 'table') OVER w, false) THEN 0 ELSE 1 END AS s FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY unit_id)),
         g AS (SELECT *, CAST(sum(s) OVER (PARTITION BY doc_id ORDER BY unit_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM f)
         SELECT doc_id, island, CAST(count(*) AS INTEGER) AS n_rows, min(unit_id) AS first_unit, md5(string_agg(t, chr(10) ORDER BY unit_id)) AS digest FROM g GROUP BY doc_id, island""",
-    "renumber": f"WITH {UNITS} SELECT unit_id, doc_id || '_' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE substring(CAST(n AS VARCHAR), 1, 4) END AS chunk_id FROM (SELECT unit_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY unit_id) AS n FROM units)",
+    "renumber": f"WITH {UNITS} SELECT unit_id, doc_id || '_' || lpad(CAST(n AS VARCHAR), CAST(greatest(4, length(CAST(n AS VARCHAR))) AS INTEGER), '0') AS chunk_id FROM (SELECT unit_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY unit_id) AS n FROM units)",
     "token_budget": f"WITH {UNITS} SELECT unit_type, count(*) AS n, CAST(sum({_TOKENS}) AS BIGINT) AS n_tokens, CAST(max({_TOKENS}) AS INTEGER) AS longest, count(*) FILTER ({_TOKENS} > 512) AS n_over FROM units GROUP BY unit_type",
     "table_unpivot": f"""WITH {UNITS}, t AS (SELECT unit_id, list_filter(list_transform(string_split(table_header, '|'), lambda x: trim(x)), lambda x: x <> '') AS h, table_rows FROM units WHERE unit_type = 'table' AND table_header IS NOT NULL),
         c AS (SELECT unit_id, CASE WHEN len(h) <= 1 THEN [] WHEN regexp_matches(replace(h[1], ' ', ''), '^\\d{{4}}[AEFH]?$') THEN h ELSE h[2:] END AS cols, table_rows FROM t),
         r AS (SELECT unit_id, cols, unnest(range(1, len(table_rows) + 1)) AS i, table_rows FROM c),
         k AS (SELECT unit_id, cols, i, list_filter(list_transform(string_split(table_rows[i], '|'), lambda x: trim(x)), lambda x: x <> '') AS cells FROM r),
         v AS (SELECT unit_id, cols, i, cells, unnest(range(1, len(cells))) AS j FROM k WHERE len(cells) > 1)
-        SELECT unit_id, CAST(i - 1 AS INTEGER) AS row_no, cells[1] AS indicator, CAST(j - 1 AS INTEGER) AS column_no, coalesce(cols[j], '') AS column, cells[j + 1] AS value FROM v""",
+        SELECT unit_id, CAST(i - 1 AS INTEGER) AS row_no, cells[1] AS indicator, CAST(j - 1 AS INTEGER) AS column_no, cols[j] AS column, cells[j + 1] AS value FROM v
+        WHERE j <= len(cols) AND NOT regexp_matches(replace(cells[1], ' ', ''), '^\\d{{4}}[AEFH]?$')""",
     "upsert_by_doc": """WITH f AS (SELECT doc_id, min(updated_at) AS updated_at, min(chunk_count) AS chunk_count FROM doc_manifest GROUP BY doc_id),
         l AS (SELECT DISTINCT ON (m.doc_id) m.doc_id, m.updated_at, m.chunk_count FROM doc_manifest m JOIN f ON f.doc_id = m.doc_id AND m.updated_at > f.updated_at ORDER BY m.doc_id, m.updated_at DESC)
         SELECT doc_id, updated_at, chunk_count, false AS replaced FROM f ANTI JOIN l USING (doc_id) UNION ALL SELECT doc_id, updated_at, chunk_count, true FROM l""",

@@ -10,6 +10,7 @@ from millrace.functions import query as qf
 from millrace.functions import text as tx
 from millrace.operators import cache, chunking, evidence, metrics, models, records, retrieval
 from millrace.plans.common import MANIFEST, UNITS, asked, hits, manifest, questions, units
+from millrace.session import cut
 from millrace.sources.tables import table
 
 
@@ -48,7 +49,7 @@ def _context(spark: SparkSession, folder: str) -> DataFrame:
 def table_parts(spark: SparkSession, folder: str) -> DataFrame:
     """The rows of each table in parts that fit their budget with the context before them."""
     rows = _context(spark, folder).withColumn("context_tokens", chunking.token_count(F.col("context")))
-    parts = records.table_parts(rows, "unit_id", 240)
+    parts = records.table_parts(rows, "unit_id", cut(records.sentences(rows, "unit_id")), 240)
     return parts.select("unit_id", "part_index", "part_count", F.size("rows").alias("n_rows"))
 
 
@@ -62,13 +63,15 @@ def table_embedding_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_records(spark: SparkSession, folder: str) -> DataFrame:
-    """All chunks of all documents: packed text, tables, rating headlines, with their documents' fields, by type."""
-    source = units(spark, folder)
-    packed = chunking.chunk_groups(chunking.pack_units(source.select("doc_id", "pos", "text", "section_title", "unit_type", "is_noise", "page_number")))
-    text = packed.select("doc_id", "chunk_id", "section_title", "text", F.lit("text").alias("content_type"))
-    every = text.unionByName(records.rating_headlines(manifest(spark, folder)))
-    rows = records.chunk_records(every, manifest(spark, folder))
-    return rows.groupBy("content_type", "industry_label").agg(F.count("*").alias("n"), F.sum("char_count").alias("n_chars"), F.max("token_count").alias("longest"), F.count_if("over").alias("n_over"))
+    """All chunks of all documents: packed text, tables in parts, noise, merged appendices, rating headlines."""
+    rows = records.document_chunks(units(spark, folder), manifest(spark, folder))
+    return rows.select("chunk_id", "doc_id", "content_type", "is_retrievable", "section_title", "page_start", "page_end", "unit_count", "table_part_index", "table_part_count", "char_count", "token_count", "embedding_token_count", F.md5("text").alias("digest"), F.md5("embedding_text").alias("embedding_digest"))
+
+
+def chunk_types(spark: SparkSession, folder: str) -> DataFrame:
+    """How many chunks there are of each type."""
+    rows = records.document_chunks(units(spark, folder), manifest(spark, folder))
+    return rows.groupBy("content_type", "industry_label").agg(F.count("*").alias("n"), F.sum("char_count").alias("n_chars"), F.max("embedding_token_count").alias("longest"), F.count_if("contains_table").alias("n_tables"))
 
 
 def appendix_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,7 +135,7 @@ def token_aliases(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = [
-    rating_headlines, table_sections, table_kinds, table_readings, table_parts, table_embedding_text, chunk_records, appendix_chunks, prompts, encoded_topk, company_hints, paraphrases,
+    rating_headlines, table_sections, table_kinds, table_readings, table_parts, table_embedding_text, chunk_records, chunk_types, appendix_chunks, prompts, encoded_topk, company_hints, paraphrases,
     cache_codec, missing_chunks, token_aliases,
 ]
 
