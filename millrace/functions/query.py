@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,10 +82,16 @@ METRIC_NAMES = (("每股收益", "EPS"), ("市盈率(?!PE)", "PE"), ("营业收
 COMPANY_SUFFIX = "(?:科技|股份|集团|国际|装备|新能|微|技术|核电|易佰|传媒|信息|材料|电子|软件|网络|数据|智能|光电|半导体)?"
 
 
+@cache
+def _compatible() -> tuple[str, str]:
+    """All characters of the basic plane whose compatibility form is one other character, and those forms."""
+    pairs = {c: form for c in map(chr, range(0x80, 0xFFFE)) if not 0xD800 <= ord(c) < 0xE000 and len(form := unicodedata.normalize("NFKC", c)) == 1 and form != c}
+    return "".join(pairs), "".join(pairs.values())
+
+
 def _narrow(text: Column) -> Column:
-    """Full-width ASCII as ASCII and other compatibility forms that questions carry."""
-    wide = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　 "
-    return F.translate(text, wide, "".join(map(chr, range(0x21, 0x7F))) + "  ")
+    """Compatibility forms of one character as that character: full-width signs, circled numbers, compatibility ideographs."""
+    return F.translate(text, *_compatible())
 
 
 def cache_text(query: Column) -> Column:
@@ -133,23 +140,32 @@ def company_hint(text: Column) -> Column:
     return let(cache_text(text), found)
 
 
-# Six ways to say a question differently.
+# Six ways to say a question differently; metrics in the order in which they are looked for, and what they are called.
 PARAPHRASES = ("polite_prefix", "polite_tell", "synonym_metric", "word_order", "punctuation", "filler_suffix")
+TOLD_METRICS = (("EPS", "每股收益"), ("PE", "PE"), ("营收", "营收"), ("净利润", "净利润"), ("毛利率", "毛利率"), ("市盈率", "市盈率"), ("每股收益", "每股收益"), ("营业收入", "营业收入"))
+# Names of metrics that are swapped: if the first is there and the second is not, it becomes the third.
+SWAPS = (("(?i)EPS", "每股收益", "每股收益"), ("每股收益", None, "EPS"), ("市盈率", "(?i)PE", "PE"), (r"(?i)\bPE\b", "市盈率", "市盈率"), ("营业收入", None, "营收"), ("营收", "营业收入", "营业收入"))
 
 
 def paraphrase(query: Column, variant: Column) -> Column:
-    """A question said in another way."""
-    text = stripped(text_or_empty(query))
-    bare = F.regexp_replace(text, r"[？?。]+$", "")
-    year = F.regexp_extract(text, r"(20\d{2})年?", 1)
-    led = F.concat(year, F.lit("年"), F.regexp_replace(bare, r"20\d{2}年?", ""))
-    swapped = F.when(F.contains(bare, F.lit("每股收益")), F.replace(bare, F.lit("每股收益"), F.lit("EPS"))).when(F.contains(bare, F.lit("营业收入")), F.replace(bare, F.lit("营业收入"), F.lit("营收")))
+    """A question said in another way; where a way needs a year and a company that are not there, it is the polite one."""
+    mark = F.lit("？")
+    base = stripped(F.regexp_replace(text_or_empty(query), "[？?]+$", ""))
+    polite = F.concat(F.when(base.startswith("请问"), base).otherwise(F.concat(F.lit("请问"), base)), mark)
+    form, year, company = cache_text(query), report_year(query), company_hint(query)
+    both = (year != "") & (company != "")
+    metric = F.coalesce(*[F.when(F.contains(F.upper(form) if word in ("EPS", "PE") else form, F.lit(word)), F.lit(name)) for word, name in TOLD_METRICS], F.lit("相关信息"))
+    told = F.concat(F.lit("请告诉我"), year, F.lit("年"), company, F.lit("的"), metric, mark)
+    swapped = F.coalesce(*[F.when(base.rlike(there) & (~base.rlike(other) if other else F.lit(True)), F.concat(F.regexp_replace(base, there, new), mark)) for there, other, new in SWAPS])
+    lead = F.concat(company, year, F.lit("年"))
+    moved = F.concat(year, F.lit("年"), company, F.substring(form, F.length(lead) + 1, F.length(form)))
+    short = F.when(base.rlike("(是多少|是什么|有多少)$"), F.concat(F.regexp_replace(base, "(是多少|是什么|有多少)$", ""), F.lit("是"))).when(base.rlike("吗$"), F.regexp_replace(base, "吗$", "")).otherwise(F.concat(base, F.lit("是")))
     return (
-        F.when(variant == "polite_prefix", F.when(text.startswith("请问"), text).otherwise(F.concat(F.lit("请问"), text)))
-        .when(variant == "polite_tell", F.concat(F.lit("请告诉我"), bare))
-        .when(variant == "synonym_metric", F.coalesce(swapped, text))
-        .when(variant == "word_order", F.when(year != "", led).otherwise(text))
-        .when(variant == "punctuation", F.concat(bare, F.lit("？")))
-        .when(variant == "filler_suffix", F.concat(text, F.lit("（帮忙查一下）")))
-        .otherwise(text)
+        F.when(variant == "polite_prefix", polite)
+        .when(variant == "polite_tell", F.when(both, told).otherwise(polite))
+        .when(variant == "synonym_metric", F.coalesce(swapped, polite))
+        .when(variant == "word_order", F.when(both & F.startswith(form, lead), F.concat(moved)).otherwise(polite))
+        .when(variant == "punctuation", F.concat(short, mark))
+        .when(variant == "filler_suffix", F.concat(base, F.lit("（帮忙查一下）？")))
+        .otherwise(text_or_empty(query))
     )

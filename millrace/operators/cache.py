@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.query import cache_text
-from millrace.functions.text import text_or_empty
+from millrace.functions.text import stripped, text_or_empty
 from millrace.operators.retrieval import cosine
+from millrace.session import cut
 
 # Threshold of similarity, times to live in seconds, greatest number of entries, hits looked at.
 SIMILARITY = 0.88
@@ -22,7 +23,10 @@ TTL_SEARCH, TTL_CHAT, TTL_REFUSED, TTL_SUMMARY_CHAT = 86_400, 43_200, 900, 14_40
 MAX_ENTRIES = 10_000
 TOP = 5
 # Reasons for which an entry is stale and is to be purged.
-STALE_REASONS = ("index_fingerprint_mismatch", "config_fingerprint_mismatch", "generation_fingerprint_mismatch", "expired", "chunk_missing")
+STALE_REASONS = (
+    "index_fingerprint_mismatch", "config_fingerprint_mismatch", "generation_fingerprint_mismatch", "chunk_missing", "metadata_missing", "stock_code_mismatch", "company_mismatch",
+    "report_year_mismatch", "doc_id_mismatch", "doc_version_mismatch", "metadata_filter_mismatch", "query_type_mismatch", "expired",
+)
 
 
 def config_fingerprint(route: Column, recall_k: Column, rerank_k: Column, threshold: Column, weight: Column, pool: Column) -> Column:
@@ -39,18 +43,31 @@ def index_fingerprint(table: DataFrame, key: str) -> DataFrame:
     return facts.select(F.substring(F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.col("h").cast("string")), 256), 1, 16).alias("fingerprint"))
 
 
-def key_text(scope: Column, query: Column, stock_code: Column, query_type: Column, config: Column, index: Column) -> Column:
-    """What an exact entry is found by, before its digest."""
-    return F.concat_ws("|", scope, cache_text(query), text_or_empty(stock_code), text_or_empty(query_type), config, index)
+def metadata_fingerprint(stock_code: Column, query_type: Column, company: Column | None = None, year: Column | None = None, doc_id: Column | None = None, version: Column | None = None) -> Column:
+    """What a question is restricted to, in one line; what is not given is a dash."""
+    given = lambda c, other="-": F.coalesce(F.nullif(stripped(text_or_empty(c)), F.lit("")), F.lit(other)) if c is not None else F.lit(other)
+    parts = [("stock=", given(stock_code)), ("|qtype=", given(query_type, "factual")), ("|co=", given(company)), ("|yr=", given(year)), ("|doc=", given(doc_id)), ("|ver=", given(version))]
+    return F.concat(*[x for label, value in parts for x in (F.lit(label), value)])
+
+
+def _dash(generation: Column) -> Column:
+    return F.coalesce(F.nullif(generation, F.lit("")), F.lit("-"))
+
+
+def key_text(scope: Column, query: Column, config: Column, index: Column, generation: Column, metadata: Column) -> Column:
+    """What an exact entry is found by, before its digest; a search has no generation."""
+    made = F.when(scope == "chat", _dash(generation)).otherwise("-")
+    parts = [("scope=", scope), ("|cfg=", config), ("|idx=", index), ("|gen=", made), ("|meta=", metadata), ("|q=", cache_text(query))]
+    return F.concat(*[x for label, value in parts for x in (F.lit(label), value)])
 
 
 def storage_key(*parts: Column) -> Column:
     return F.sha2(key_text(*parts), 256)
 
 
-def bucket(scope: Column, stock_code: Column, query_type: Column, config: Column, index: Column) -> Column:
+def bucket(scope: Column, config: Column, index: Column, generation: Column, metadata: Column) -> Column:
     """32 hex digits for the entries among which a similar question may be looked for."""
-    return F.substring(F.sha2(F.concat_ws("|", scope, text_or_empty(stock_code), text_or_empty(query_type), config, index), 256), 1, 32)
+    return F.substring(F.sha2(F.concat_ws("|", scope, config, index, _dash(generation), metadata), 256), 1, 32)
 
 
 def payload_chunk_ids(payload: Column) -> Column:
@@ -127,40 +144,71 @@ def similar_lookup(requests: DataFrame, entries: DataFrame, now: Column, thresho
     return near.where("place = 1").select("request_id", "entry_id", "similarity")
 
 
-def two_level_lookup(requests: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
-    """(request_id, layer, entry_id, similarity): exact first, then similar for the misses; layer L1, L2 or miss."""
-    first = exact_lookup(requests, entries, now)
-    hit = first.where("entry_id IS NOT NULL").select("request_id", F.lit("L1").alias("layer"), "entry_id", F.lit(1.0).alias("similarity"))
-    missed = first.where("entry_id IS NULL").drop("entry_id")
-    second = similar_lookup(missed, entries, now)
-    rest = missed.select("request_id").join(second, "request_id", "left")
-    return hit.unionByName(rest.select("request_id", F.when(F.col("entry_id").isNull(), "miss").otherwise("L2").alias("layer"), "entry_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity")))
-
-
 def company_match(a: Column, b: Column) -> Column:
     x, y = cache_text(a), cache_text(b)
     return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))
 
 
-def rejection(request: str, entry: str, chunks_exist: Column) -> Column:
-    """Why an entry may not be served for a request, or empty; ``request`` and ``entry`` are aliases of two sides of a join."""
+def rejection(request: str, entry: str, exact: Column, similarity: Column, ttl_refused: int = TTL_REFUSED) -> Column:
+    """Why an entry may not be served for a request, or empty; ``request`` and ``entry`` are aliases of two sides of a join.
+
+    First what the question is restricted to, then the fingerprints, similarity and refusals, then whether the
+    entry's chunks are known (``chunks_known``). A null ``metadata`` of the request asks for nothing more, one
+    of the entry cannot be checked.
+    """
     r, e = lambda c: F.col(f"{request}.{c}"), lambda c: F.col(f"{entry}.{c}")
-    asked_year, asked_doc = text_or_empty(r("report_year")), text_or_empty(r("doc_id"))
-    names = (text_or_empty(r("company_name")) != "") & (text_or_empty(e("company_name")) != "")
+    given = lambda c: stripped(text_or_empty(r(c)))
+    names = (given("company_name") != "") & (stripped(text_or_empty(e("company_name"))) != "")
+    limited = r("metadata").isNotNull()
+    same = lambda c: limited & (given(c) != "") & (stripped(text_or_empty(e(c))) != given(c))
     rules = [
-        ("stock_code_mismatch", (text_or_empty(r("stock_code")) != "") & ~e("stock_code").eqNullSafe(r("stock_code"))),
+        ("stock_code_mismatch", (given("stock_code") != "") & ~e("stock_code").eqNullSafe(r("stock_code"))),
         ("query_type_mismatch", ~e("query_type").eqNullSafe(r("query_type"))),
-        ("company_mismatch", names & ~company_match(r("company_name"), e("company_name"))),
-        ("report_year_mismatch", (asked_year != "") & ~e("report_year").eqNullSafe(asked_year)),
-        ("doc_id_mismatch", (asked_doc != "") & ~e("doc_id").eqNullSafe(asked_doc)),
+        ("metadata_missing", limited & e("metadata").isNull()),
+        ("company_mismatch", limited & names & ~company_match(r("company_name"), e("company_name"))),
+        ("report_year_mismatch", same("report_year")),
+        ("doc_id_mismatch", same("doc_id")),
+        ("doc_version_mismatch", same("doc_version")),
         ("index_fingerprint_mismatch", ~e("index_fingerprint").eqNullSafe(r("index_fingerprint"))),
         ("config_fingerprint_mismatch", ~e("config_fingerprint").eqNullSafe(r("config_fingerprint"))),
-        ("similarity_below_threshold", r("similarity") < SIMILARITY),
-        ("chunk_missing", ~chunks_exist),
+        ("generation_fingerprint_mismatch", (e("scope") == "chat") & ~e("generation_fingerprint").eqNullSafe(r("generation_fingerprint"))),
+        ("similarity_below_threshold", ~exact & (similarity < SIMILARITY)),
+        ("refused_not_served", F.coalesce(e("refused"), F.lit(False)) & F.lit(ttl_refused <= 0)),
+        ("chunk_missing", ~F.coalesce(e("chunks_known"), F.lit(True))),
     ]
     return F.coalesce(*[F.when(bad, F.lit(name)) for name, bad in rules], F.lit(""))
 
 
+def two_level_lookup(requests: DataFrame, entries: DataFrame, now: Column, registry: DataFrame | None = None) -> DataFrame:
+    """(request_id, layer, entry_id, similarity, reason): exact first, then similar for the misses; layer L1, L2 or miss.
+
+    Every candidate passes ``rejection`` before it is served; ``reason`` tells why the first candidate of a miss was
+    not. Both sides carry keys, buckets, vectors, fingerprints and what they are restricted to. ``registry``:
+    (chunk_id) of the known chunks, held against the entries' ``chunk_ids``.
+    """
+    live = entries.where(~expired(F.col("created_at"), F.col("ttl_s"), now))
+    if registry is not None:
+        lost = missing_chunks(live, registry).select("entry_id", F.lit(False).alias("known"))
+        live = live.join(lost, "entry_id", "left").withColumn("chunks_known", F.coalesce("known", F.lit(True))).drop("known")
+    elif "chunks_known" not in live.columns:
+        live = live.withColumn("chunks_known", F.lit(True))
+    newest = Window.partitionBy("storage_key").orderBy(F.desc("created_at"), F.desc("entry_id"))
+    first = live.withColumn("_n", F.row_number().over(newest)).where("_n = 1")
+    r, e = requests.alias("r"), first.alias("e")
+    exact = r.join(e, F.col("r.storage_key") == F.col("e.storage_key")).select(F.col("r.request_id"), F.col("e.entry_id"), F.lit(1.0).alias("similarity"), F.lit("L1").alias("layer"), rejection("r", "e", F.lit(True), F.lit(1.0)).alias("reason"), F.lit(0).alias("place"))
+    exact = cut(exact)
+    rest = requests.join(exact.where("reason = ''").select("request_id"), "request_id", "left_anti").alias("r")
+    near = rest.join(live.alias("e"), F.col("r.bucket") == F.col("e.bucket")).withColumn("similarity", F.round(cosine(F.col("r.vector"), F.col("e.vector")), 6))
+    order = Window.partitionBy("r.request_id").orderBy(F.desc_nulls_last("similarity"), F.col("e.entry_id"))
+    near = near.withColumn("place", F.row_number().over(order)).where((F.col("place") <= TOP) & F.col("similarity").isNotNull())
+    similar = near.select("r.request_id", "e.entry_id", "similarity", F.lit("L2").alias("layer"), rejection("r", "e", F.lit(False), F.col("similarity")).alias("reason"), "place")
+    tried = exact.unionByName(similar)
+    best = tried.groupBy("request_id").agg(F.min_by(F.struct("layer", "entry_id", "similarity"), F.when(F.col("reason") == "", F.struct("layer", "place"))).alias("hit"), F.min_by("reason", F.struct("layer", "place")).alias("reason"))
+    out = requests.select("request_id").join(best, "request_id", "left")
+    served = F.col("hit").isNotNull()
+    return out.select("request_id", F.when(served, F.col("hit.layer")).otherwise("miss").alias("layer"), F.col("hit.entry_id").alias("entry_id"), F.coalesce("hit.similarity", F.lit(0.0)).alias("similarity"), F.when(served, "").otherwise(F.coalesce("reason", F.lit(""))).alias("reason"))
+
+
 def keep_recent(entries: DataFrame, now: Column, limit: int = MAX_ENTRIES, order: str = "last_access") -> DataFrame:
     """The living entries of greatest ``order``, at most ``limit`` of each scope."""
     live = entries.where(~expired(F.col("created_at"), F.col("ttl_s"), now))

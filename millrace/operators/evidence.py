@@ -47,6 +47,7 @@ BLOCKED_SECTIONS = {
     "core_view": ("评级说明", "可比公司"),
 }
 COMPARE_HINTS = ("谁更高", "谁更低", "对比", "比较", "vs", "VS", "孰高", "孰低")
+COMPARE_MANY = "和.+?[,，、].+?谁"
 # Codes of refusal and what they say.
 REFUSALS = {
     "no_hits": "未检索到相关研报片段",
@@ -147,17 +148,35 @@ def section_key(section: Column) -> Column:
     return F.when(bare == "", "unknown").otherwise(bare)
 
 
+def holds_name(name: Column, company: Column, display: Column, text: Column) -> Column:
+    """Whether a hit names a compared name of two letters or more."""
+    name = stripped(text_or_empty(name))
+    return (F.length(name) >= 2) & F.contains(F.concat_ws(" ", *map(text_or_empty, (company, display, text))), name)
+
+
 def select_evidence(hits: DataFrame, k: int = 3, pool: int = POOL) -> DataFrame:
     """The ``k`` best hits of each query's first ``pool`` by ``score_selected``, at most ``PER_SECTION`` of a section.
 
-    Hits beyond a section's places come only when no others are left. Ties keep the rerank order.
+    Hits beyond a section's places come only when no others are left. Ties keep the rerank order. Where ``hits`` has
+    ``names`` (an array; empty but for comparisons), the best hit that holds each of the first two names comes first.
     """
     best = Window.partitionBy("query_id").orderBy(F.desc("score_selected"), "rank")
-    section = Window.partitionBy("query_id", "section_key").orderBy(F.desc("score_selected"), "rank")
-    pooled = hits.where(F.col("rank") <= pool).withColumn("section_key", section_key(F.col("section_title")))
-    tiered = pooled.withColumn("tier", F.when(F.row_number().over(section) <= PER_SECTION, 0).otherwise(1)).withColumn("by_score", F.row_number().over(best))
-    order = Window.partitionBy("query_id").orderBy("tier", "by_score")
-    return tiered.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("tier", "by_score")
+    whole = Window.partitionBy("query_id")
+    pooled = hits.where(F.col("rank") <= pool).withColumn("section_key", section_key(F.col("section_title"))).withColumn("by_score", F.row_number().over(best))
+    if "names" in hits.columns:
+        named = F.size("names") >= 2
+        holds = lambda i: F.coalesce(named & holds_name(F.get("names", F.lit(i)), F.col("company_name"), F.col("display_name"), F.col("passage")), F.lit(False))
+        pooled = pooled.withColumn("_one", F.min(F.when(holds(0), F.col("by_score"))).over(whole))
+        pooled = pooled.withColumn("_two", F.min(F.when(holds(1) & ~F.col("by_score").eqNullSafe(F.col("_one")), F.col("by_score"))).over(whole))
+        cover = F.when(F.col("by_score") == F.col("_one"), 0).when(F.col("by_score") == F.col("_two"), 1)
+    else:
+        cover = F.lit(None).cast("int")
+    pooled = pooled.withColumn("_cover", cover)
+    section = Window.partitionBy("query_id", "section_key").orderBy(F.asc_nulls_last("_cover"), "by_score")
+    tier = F.when(F.col("_cover").isNotNull(), -1).when(F.row_number().over(section) <= PER_SECTION, 0).otherwise(1)
+    order = Window.partitionBy("query_id").orderBy("tier", F.asc_nulls_last("_cover"), "by_score")
+    placed = pooled.withColumn("tier", tier).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return placed.drop("tier", "by_score", "_cover", "_one", "_two")
 
 
 def gate(queries: DataFrame, hits: DataFrame, threshold: float = REFUSAL_THRESHOLD) -> DataFrame:
@@ -172,7 +191,8 @@ def gate(queries: DataFrame, hits: DataFrame, threshold: float = REFUSAL_THRESHO
     hit_code = stripped(text_or_empty(F.col("stock_code_hit")))
     blob = F.concat_ws(" ", text_or_empty(F.col("company_name")), text_or_empty(F.col("display_name")), text_or_empty(F.col("passage")))
     code_in = ((hit_code != "") & (F.contains(code, hit_code) | F.contains(hit_code, code))) | F.contains(blob, code)
-    anchor = (F.coalesce("page_start", F.lit(0)) > 0) | (stripped(text_or_empty(F.col("display_name"))) != "") | (stripped(text_or_empty(F.col("doc_id"))) != "")
+    filed = stripped(text_or_empty(F.col("filename"))) != "" if "filename" in hits.columns else F.lit(False)
+    anchor = (F.coalesce("page_start", F.lit(0)) > 0) | filed | (stripped(text_or_empty(F.col("display_name"))) != "") | (stripped(text_or_empty(F.col("doc_id"))) != "")
     company = stripped(text_or_empty(F.col("company_name")))
     top = F.when(place == 1, F.lit(True))
     selected = F.max_by(F.struct("section_title", "score_rerank", "score_selected"), F.when(place <= POOL, F.struct("score_selected", (-place).alias("r"))))
@@ -185,7 +205,7 @@ def gate(queries: DataFrame, hits: DataFrame, threshold: float = REFUSAL_THRESHO
         F.count_distinct(F.when((place <= 5) & (company != ""), company)).alias("companies"),
         selected.alias("best"),
     )
-    comparing = F.col("query_type").eqNullSafe("comparative") | (F.col("names") >= 2) | any_contained(text_or_empty(F.col("query")), COMPARE_HINTS)
+    comparing = F.col("query_type").eqNullSafe("comparative") | (F.col("names") >= 2) | any_contained(text_or_empty(F.col("query")), COMPARE_HINTS) | text_or_empty(F.col("query")).rlike(COMPARE_MANY)
     found = intents(F.col("query"), F.col("query_type"))
     section = text_or_empty(F.col("best.section_title"))
     blocked = reduce(lambda a, b: a | b, [F.array_contains(found, n) & any_contained(section, s) for n, s in BLOCKED_SECTIONS.items()])

@@ -6,6 +6,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.functions.text import text_or_empty
 from millrace.operators import evidence, retrieval
@@ -42,18 +43,42 @@ def asked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Requests as questions of their first hit's section, and their reranked hits with what the gate looks at."""
+    """All requests as questions of their first hit's section, and their reranked hits with what the gate looks at.
+
+    Every third request compares, every seventh asks for the stock code of request and hit 2, so that codes and names
+    may fail to fit; every eleventh has lost its hits' sources, every thirteenth their texts.
+    """
     found = hits(spark, folder).where("stage = 'rerank'")
     codes = manifest(spark, folder).select("doc_id", F.col("stock_code").alias("stock_code_hit"))
-    ranked = found.join(codes, "doc_id", "left").withColumn("passage", evidence.passage(F.col("company_name"), F.col("section_title"), F.col("text")))
+    ranked = found.join(codes, "doc_id", "left")
+    bare, silent = F.col("query_id") % 11 == 0, F.col("query_id") % 13 == 0
+    for c in ("page_start", "page_end", "display_name", "doc_id"):
+        ranked = ranked.withColumn(c, F.when(~bare, F.col(c)))
+    body = evidence.passage(F.when(~silent, F.col("company_name")), F.col("section_title"), F.when(~silent, F.col("text")))
+    ranked = ranked.withColumn("passage", body)
     asking = found.where("rank = 1").select("query_id", F.concat_ws(" ", text_or_empty(F.col("company_name")), text_or_empty(F.col("section_title"))).alias("query"))
     asking = asking.groupBy("query_id").agg(F.min("query").alias("query"))
+    second = found.where("rank = 2").groupBy("query_id").agg(F.min("company_name").alias("other"))
+    wanted = manifest(spark, folder).where("stock_code <> ''").agg(F.min("stock_code").alias("want"))  # one row
     kind = F.when(F.col("query_id") % 3 == 0, "comparative").when(F.col("query_id") % 3 == 1, "factual").otherwise("summary")
-    queries = asking.select("query_id", "query", kind.alias("query_type"), F.lit("").alias("stock_code"), F.lit(0).alias("names"))
-    typed = ranked.join(queries.select("query_id", "query", "query_type"), "query_id")
-    chosen = evidence.intents(F.col("query"), F.col("query_type"))
-    score = evidence.selection_score(F.col("score_rerank"), chosen, F.col("section_title"), F.col("passage"), F.lit(""), F.col("query_type"))
-    return queries, typed.withColumn("score_selected", score).drop("query", "query_type")
+    every = table(spark, folder, "rag_requests").select(F.col("id").alias("query_id")).distinct()
+    rows = every.join(asking, "query_id", "left").join(second, "query_id", "left").join(F.broadcast(wanted), how="left")
+    names = F.when((kind == "comparative") & (text_or_empty(F.col("other")) != ""), F.array(F.substring_index("query", " ", 1), F.col("other"))).otherwise(F.array().cast("array<string>"))
+    code = F.when(F.col("query_id") % 7 == 0, F.coalesce("want", F.lit(""))).otherwise(F.lit(""))
+    queries = rows.select("query_id", F.coalesce("query", F.lit("")).alias("query"), kind.alias("query_type"), code.alias("stock_code"), names.alias("name_list"), F.size(names).alias("names"))
+    chosen = queries.select("query_id", "query_type", F.col("name_list").alias("names"), evidence.intents(F.col("query"), F.col("query_type")).alias("intents"))
+    typed = ranked.join(chosen, "query_id")
+    score = evidence.selection_score(F.col("score_rerank"), F.col("intents"), F.col("section_title"), F.col("passage"), F.lit(""), F.col("query_type"))
+    return queries.drop("name_list"), typed.withColumn("score_selected", score).drop("query_type", "intents")
+
+
+def best_chunks(spark: SparkSession, folder: str, k: int = 3) -> DataFrame:
+    """The ``k`` chunks of each document of the greatest rerank score they ever had, with ``rank``, each chunk once."""
+    found = hits(spark, folder).where("stage = 'rerank'")
+    fields = ("doc_id", "page_start", "page_end", "display_name", "company_name", "section_title", "text")
+    once = found.groupBy("chunk_id").agg(F.max("score_rerank").alias("score_rerank"), *[F.min(c).alias(c) for c in fields])
+    w = Window.partitionBy("doc_id").orderBy(F.desc_nulls_last("score_rerank"), "chunk_id")
+    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 TOKENS = """flatten(list_transform(regexp_extract_all(lower(coalesce({0}, '')), '[㐀-䶿一-鿿]+|[a-z0-9]+'),
@@ -67,6 +92,7 @@ INDEX = f"""bags AS (SELECT doc_id AS chunk_id, {TOKENS.format('text')} AS toks
     idf AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
 
 HITS = "hits AS (SELECT DISTINCT hit_id, request_id AS query_id, stage, rank, chunk_id, doc_id, company_name, section_title, page_start, page_end, display_name, text, score, score_recall, score_rerank, score_vector, score_bm25 FROM retrieved_chunks)"
+BEST = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score_rerank DESC NULLS LAST, chunk_id) AS rank FROM (SELECT chunk_id, max(score_rerank) AS score_rerank, min(doc_id) AS doc_id, min(page_start) AS page_start, min(page_end) AS page_end, min(display_name) AS display_name, min(company_name) AS company_name, min(section_title) AS section_title, min(text) AS text FROM hits WHERE stage = 'rerank' GROUP BY chunk_id)) WHERE rank <= 3)"
 MANIFEST = "manifest AS (SELECT DISTINCT ON (doc_id) * FROM doc_manifest ORDER BY doc_id, updated_at)"
 UNITS = "units AS (SELECT DISTINCT ON (unit_id) * FROM content_units ORDER BY unit_id, loaded_at)"
 

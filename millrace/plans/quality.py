@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import query as qf
 from millrace.functions.text import text_or_empty
 from millrace.operators import cache, evidence, metrics, retrieval
-from millrace.plans.common import EVERY, HITS, MANIFEST, SCORED, TOKENS, asked, gated, hits, lexical_hits, manifest, questions
+from millrace.plans.common import BEST, EVERY, HITS, MANIFEST, SCORED, TOKENS, asked, best_chunks, gated, hits, lexical_hits, manifest, questions
 from millrace.plans.search import _has
 from millrace.sources.tables import table
 
@@ -52,7 +52,7 @@ def evidence_select(spark: SparkSession, folder: str) -> DataFrame:
 
 def evidence_gate(spark: SparkSession, folder: str) -> DataFrame:
     queries, found = gated(spark, folder)
-    return evidence.gate(queries, found).select("query_id", "n_hits", "top_score", "reason", "passed")
+    return evidence.gate(queries, found.drop("names")).select("query_id", "n_hits", "top_score", "reason", "passed")
 
 
 def refusal_breakdown(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,12 +80,39 @@ def extractive_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 def _judged(spark: SparkSession, folder: str, k: int = 10) -> tuple[DataFrame, DataFrame]:
     """The questions searched for, and their lexical hits with their relevance: the stock code fits."""
+    none = F.lit(None).cast("array<string>")
+    empty = F.lit(None).cast("string")
     found = lexical_hits(spark, folder, k)
-    codes = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("stock_code").alias("hit_code"))
-    wanted = asked(spark, folder).select("query_id", "query_type", F.col("stock_code").alias("want"))
-    fits = metrics.relevant(F.col("hit_code"), F.lit(""), F.lit(""), F.col("want"), F.lit("-"), F.array().cast("array<string>"))
-    rows = found.join(codes, "chunk_id").join(wanted, "query_id").select("query_id", "chunk_id", "rank", fits.alias("relevant"))
-    return wanted.select("query_id", "query_type"), rows
+    have = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "stock_code", "text", "broker", *[empty.alias(c) for c in ("doc_id", "industry_label", "section_title", "embedding_text", "display_name", "company_name", "report_title", "rating")])
+    lists = [none.alias(c) for c in ("negative_stock_codes", "gold_chunk_ids", "section_keywords", "must_contain_any")]
+    wanted = asked(spark, folder).select("query_id", "query_type", "category", "stock_code", F.lit("-").alias("doc_id"), empty.alias("industry_label"), *lists)
+    rows = found.join(have, "chunk_id").alias("h").join(wanted.alias("q"), F.col("h.query_id") == F.col("q.query_id"))
+    return wanted.select("query_id", "query_type"), rows.select("h.query_id", "h.chunk_id", "h.rank", metrics.relevant("h", "q").alias("relevant"))
+
+
+def _graded(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All questions, and the three best reranked chunks of each one's document, chosen once for each document, with the hit's fields.
+
+    The gold chunk is the question's first chunk; figures of the gold answer are its wanted tokens; questions about
+    ratings name their section; the last code of the list of companies is never wanted.
+    """
+    docs = manifest(spark, folder).select("doc_id", "stock_code", "industry_label", "report_title", "broker", "rating")
+    best = best_chunks(spark, folder).join(docs, "doc_id", "left")
+    best = best.select("doc_id", "chunk_id", "rank", "page_start", "display_name", "company_name", "section_title", "text", F.lit("").alias("embedding_text"), "stock_code", "industry_label", "report_title", "broker", "rating")
+    figures = F.slice(F.array_distinct(F.regexp_extract_all(text_or_empty(F.col("gold_answer")), F.lit(r"[0-9]+(?:\.[0-9]+)?%?"), F.lit(0))), 1, 3)
+    never = table(spark, folder, "companies").agg(F.max("stock_code").alias("never"))  # one row
+    rows = questions(spark, folder).join(F.broadcast(never), how="left").select(
+        F.col("row_id").alias("query_id"), "query_type", "category", "strategy", "stock_code", "doc_id", F.lit("").alias("industry_label"), "answer", "refused", "citation_count", "top_rerank_score",
+        F.array("never").alias("negative_stock_codes"), F.array_compact(F.array("top1_chunk_id")).alias("gold_chunk_ids"), F.when(F.col("category") == "rating", F.array(F.lit("投资评级"))).alias("section_keywords"), figures.alias("must_contain_any"),
+    )
+    return rows, best
+
+
+def relevance(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of the best chunks of each question's document answer it, by kind of question."""
+    rows, best = _graded(spark, folder)
+    judged = best.alias("h").join(rows.alias("q"), F.col("h.doc_id") == F.col("q.doc_id")).select("q.query_type", "q.category", metrics.relevant("h", "q").alias("relevant"))
+    return judged.groupBy("query_type", "category").agg(F.count("*").alias("n"), F.count_if("relevant").alias("n_relevant"))
 
 
 def recall_mrr_by_route(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,12 +154,11 @@ def weight_sweep(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def citation_accuracy(spark: SparkSession, folder: str) -> DataFrame:
-    """Of answers that are not refused: whether they cite, with as many marks as counted, and name their document's first chunk."""
-    rows = questions(spark, folder).where("NOT coalesce(refused, false)")
-    marks = F.size(F.array_distinct(F.regexp_extract_all(text_or_empty(F.col("answer")), F.lit(r"\[(\d+)\]"), F.lit(1))))
-    checks = [F.col("citation_count") > 0, marks > 0, marks <= F.col("citation_count"), text_or_empty(F.col("top1_chunk_id")).startswith(text_or_empty(F.col("doc_id")))]
-    flags = [F.coalesce(c, F.lit(False)).cast("double") for c in checks]
-    return rows.groupBy("query_type").agg(F.count("*").alias("n"), F.round(F.avg(sum(flags[1:], flags[0]) / len(flags)), 6).alias("accuracy"))
+    """The seven checks of each answer's citations: the best chunks of its document, as many as it counts."""
+    rows, best = _graded(spark, folder)
+    cited = best.join(rows.select("query_id", "doc_id", "citation_count"), "doc_id").where("rank <= citation_count").withColumn("in_rerank", F.lit(True))
+    checked = metrics.citation_checks(rows, cited).join(rows.select("query_id", "query_type"), "query_id")
+    return checked.groupBy("query_type", "applicable").agg(F.count("*").alias("n"), F.round(F.avg("accuracy"), 6).alias("accuracy"), *[F.count_if(c).alias(f"n_{c}") for c in metrics.CITATION_CHECKS])
 
 
 def refusal_accuracy(spark: SparkSession, folder: str) -> DataFrame:
@@ -170,13 +196,15 @@ def normalize_query(spark: SparkSession, folder: str) -> DataFrame:
     return questions(spark, folder).select("row_id", qf.cache_text(F.col("query")).alias("form"))
 
 
+_GENERATION = "model=local|prompt=v1|ctx=8192|pred=2048"
 _CONFIG = "route=hybrid|rtk=30|rrk=5|ref=0.3500|hw=0.3500|pool=200"
 
 
 def _entries(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Questions as cache entries (the first of each key stored) and as requests a day later."""
     rows = questions(spark, folder)
-    key = cache.storage_key(F.lit("chat"), F.col("query"), F.col("stock_code"), F.col("query_type"), F.lit(_CONFIG), F.lit("v1"))
+    meta = cache.metadata_fingerprint(F.col("stock_code"), F.col("query_type"), qf.company_hint(F.col("query")), qf.report_year(F.col("query")))
+    key = cache.storage_key(F.lit("chat"), F.col("query"), F.lit(_CONFIG), F.lit("v1"), F.lit(_GENERATION), meta)
     keyed = rows.select("row_id", "query_type", "refused", "created_at", key.alias("storage_key"))
     entries = keyed.where(cache.may_store(F.col("query_type"), F.col("refused"))).withColumn("ttl_s", cache.ttl(F.lit("chat"), F.col("refused"), F.col("query_type"))).withColumnRenamed("row_id", "entry_id")
     return keyed.withColumnRenamed("row_id", "request_id"), entries
@@ -202,6 +230,28 @@ def cache_l1_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("request_id", "entry_id")
 
 
+def cache_flow(spark: SparkSession, folder: str) -> DataFrame:
+    """Every question looked up in both levels among the stored answers of questions, by key, then by similar vectors of its kind.
+
+    Stored vectors stand for questions; every fifth entry was made by another index, every seventh by another model,
+    and entries whose first chunk is not known any more are not served.
+    """
+    rows = questions(spark, folder)
+    vector = table(spark, folder, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
+    number = F.col("row_id")
+    meta = cache.metadata_fingerprint(F.col("stock_code"), F.col("query_type"))
+    made = rows.join(vector, "row_id", "left").select(
+        "row_id", "query", "stock_code", "query_type", "refused", "created_at", "vector", meta.alias("metadata"), F.col("doc_id"), F.array_compact(F.array("top1_chunk_id")).alias("chunk_ids"), F.lit("").alias("company_name"), F.lit("chat").alias("scope"),
+        qf.report_year(F.col("query")).alias("report_year"), F.lit("v1").alias("doc_version"), F.lit(_CONFIG).alias("config_fingerprint"), F.md5(F.concat_ws("|", F.trim("query"), meta)).alias("storage_key"), F.md5(meta).alias("bucket"),
+    )
+    requests = made.withColumns({"index_fingerprint": F.lit("v1"), "generation_fingerprint": F.lit(_GENERATION)}).withColumnRenamed("row_id", "request_id")
+    entries = made.where(cache.may_store(F.col("query_type"), F.col("refused")) & (number % 3 == 0)).withColumns({
+        "index_fingerprint": F.when(number % 5 == 0, "v0").otherwise("v1"), "generation_fingerprint": F.when(number % 7 == 0, "other").otherwise(_GENERATION), "ttl_s": F.lit(34_560_000),
+    }).withColumnRenamed("row_id", "entry_id")
+    requests = requests.withColumn("doc_id", F.lit(""))
+    return cache.two_level_lookup(requests, entries, F.lit(_NOW).cast("timestamp_ntz"), hits(spark, folder).select("chunk_id"))
+
+
 def cache_l2_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Stated vectors looked up among all vectors of their label as bucket, at a threshold that random vectors reach."""
     vectors = table(spark, folder, "embeddings")
@@ -225,8 +275,8 @@ def cache_invalidate(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = [
     rerank_topk, comparative_quota, distinct_sources_topk, evidence_intents, evidence_select, evidence_gate, refusal_breakdown, refusal_messages, citations, passages, extractive_answers,
-    recall_mrr_by_route, metrics_grouping_sets, context_precision, weight_sweep, citation_accuracy, refusal_accuracy, answer_support, answer_bodies, gold_candidates, missing_gold_anti,
-    normalize_query, cache_key, cache_ttl, cache_l1_lookup, cache_l2_lookup, cache_stats, cache_invalidate,
+    recall_mrr_by_route, relevance, metrics_grouping_sets, context_precision, weight_sweep, citation_accuracy, refusal_accuracy, answer_support, answer_bodies, gold_candidates, missing_gold_anti,
+    normalize_query, cache_key, cache_ttl, cache_l1_lookup, cache_flow, cache_l2_lookup, cache_stats, cache_invalidate,
 ]
 
 _E = "eval_generation_detail"
@@ -254,15 +304,29 @@ def _selected(intents: str, section: str, text: str, kind: str) -> str:
     return "round(" + " + ".join(parts) + ", 6)"
 
 
-_GATED = f"""{HITS}, {MANIFEST}, r AS (SELECT hits.*, stock_code AS stock_code_hit, {_CUT} AS passage, coalesce(section_title, '') AS section FROM hits LEFT JOIN (SELECT doc_id, stock_code FROM manifest) USING (doc_id) WHERE stage = 'rerank'),
-    q AS (SELECT query_id, min(concat_ws(' ', coalesce(company_name, ''), section)) AS query, CASE query_id % 3 WHEN 0 THEN 'comparative' WHEN 1 THEN 'factual' ELSE 'summary' END AS query_type FROM r WHERE rank = 1 GROUP BY query_id),
-    i AS (SELECT query_id, query, query_type, {_intent('query', 'query_type')} AS intents FROM q),
-    s AS (SELECT r.*, i.query, i.query_type, i.intents, {_selected('i.intents', 'section', 'passage', 'i.query_type')} AS score_selected FROM r JOIN i USING (query_id)),
-    best AS (SELECT * FROM (SELECT query_id, intents, query, query_type, section, score_rerank, score_selected, row_number() OVER (PARTITION BY query_id ORDER BY score_selected DESC, rank) AS b FROM s WHERE rank <= 10) WHERE b = 1),
-    per AS (SELECT query_id, count(*) AS n_hits, max(score_rerank) FILTER (rank = 1) AS top_score, max(length(passage)) FILTER (rank = 1) AS top_chars, count(DISTINCT trim(company_name)) FILTER (rank <= 5 AND trim(company_name) <> '') AS companies FROM s GROUP BY query_id),
-    gate AS (SELECT query_id, n_hits, round(top_score, 6) AS top_score, CASE WHEN coalesce(top_score, 0) < 0.35 THEN 'low_rerank_score' WHEN top_chars < 40 THEN 'insufficient_passage'
-        WHEN (query_type = 'comparative' OR {_has('query', evidence.COMPARE_HINTS)}) AND companies < 2 THEN 'comparative_insufficient'
-        WHEN {' OR '.join(f"contains(intents, '{n}') AND {_has('section', s)}" for n, s in evidence.BLOCKED_SECTIONS.items())} OR score_selected < round(score_rerank - 0.18, 6) THEN 'weak_evidence_intent' ELSE '' END AS reason FROM per JOIN best USING (query_id))"""
+_GATED = f"""{HITS}, {MANIFEST}, h0 AS (SELECT * EXCLUDE (company_name, text, doc_id, page_start, display_name), company_name AS company, CASE WHEN query_id % 13 <> 0 THEN company_name END AS company_name, CASE WHEN query_id % 13 <> 0 THEN text END AS text,
+        doc_id, CASE WHEN query_id % 11 <> 0 THEN doc_id END AS doc, CASE WHEN query_id % 11 <> 0 THEN page_start END AS page, CASE WHEN query_id % 11 <> 0 THEN display_name END AS display FROM hits WHERE stage = 'rerank'),
+    r AS (SELECT h0.*, trim(coalesce(stock_code, '')) AS code_hit, {_CUT} AS passage, coalesce(section_title, '') AS section FROM h0 LEFT JOIN (SELECT doc_id, stock_code FROM manifest) USING (doc_id)),
+    one AS (SELECT query_id, min(concat_ws(' ', coalesce(company, ''), section)) AS query FROM r WHERE rank = 1 GROUP BY query_id), two AS (SELECT query_id, min(company) AS other FROM r WHERE rank = 2 GROUP BY query_id),
+    q AS (SELECT query_id, coalesce(query, '') AS query, CASE query_id % 3 WHEN 0 THEN 'comparative' WHEN 1 THEN 'factual' ELSE 'summary' END AS query_type, CASE WHEN query_id % 7 = 0 THEN coalesce((SELECT min(stock_code) FROM manifest WHERE stock_code <> ''), '') ELSE '' END AS code,
+        CASE WHEN query_id % 3 = 0 AND coalesce(other, '') <> '' THEN [split_part(query, ' ', 1), other] ELSE [] END AS names FROM (SELECT DISTINCT id AS query_id FROM rag_requests) LEFT JOIN one USING (query_id) LEFT JOIN two USING (query_id)),
+    i AS (SELECT *, {_intent('query', 'query_type')} AS intents FROM q),
+    s AS (SELECT r.*, i.query, i.query_type, i.intents, i.names, i.code, concat_ws(' ', coalesce(company, ''), coalesce(display, ''), passage) AS blob, {_selected('i.intents', 'section', 'passage', 'i.query_type')} AS score_selected FROM r JOIN i USING (query_id)),
+    best AS (SELECT * FROM (SELECT query_id, section, score_rerank, score_selected, row_number() OVER (PARTITION BY query_id ORDER BY score_selected DESC NULLS LAST, rank) AS b FROM s WHERE rank <= 10) WHERE b = 1),
+    per AS (SELECT query_id, count(chunk_id) AS n_hits, max(coalesce(score_rerank, score)) FILTER (rank = 1) AS top_score, max(length(passage)) FILTER (rank = 1) AS top_chars, bool_or(coalesce(page, 0) > 0 OR coalesce(trim(display), '') <> '' OR coalesce(trim(doc), '') <> '') FILTER (rank = 1) AS anchored,
+        bool_or((code_hit <> '' AND (contains(code, code_hit) OR contains(code_hit, code))) OR contains(blob, code)) FILTER (rank <= 3) AS code_found, count(DISTINCT trim(company)) FILTER (rank <= 5 AND trim(company) <> '') AS companies FROM s GROUP BY query_id),
+    gate AS (SELECT query_id, coalesce(n_hits, 0) AS n_hits, round(coalesce(top_score, 0), 6) AS top_score, CASE WHEN coalesce(n_hits, 0) = 0 THEN 'no_hits' WHEN coalesce(top_score, 0) < 0.35 THEN 'low_rerank_score' WHEN coalesce(top_chars, 0) < 40 THEN 'insufficient_passage'
+        WHEN NOT coalesce(anchored, false) THEN 'missing_source_page' WHEN code <> '' AND NOT coalesce(code_found, false) THEN 'stock_mismatch'
+        WHEN (query_type = 'comparative' OR len(names) >= 2 OR {_has('query', evidence.COMPARE_HINTS)} OR regexp_matches(query, '{evidence.COMPARE_MANY}')) AND companies < 2 THEN 'comparative_insufficient'
+        WHEN {' OR '.join(f"contains(intents, '{n}') AND {_has('section', s)}" for n, s in evidence.BLOCKED_SECTIONS.items())} OR score_selected < round(score_rerank - 0.18, 6) THEN 'weak_evidence_intent' ELSE '' END AS reason FROM i LEFT JOIN per USING (query_id) LEFT JOIN best USING (query_id))"""
+
+_GRADED = f"""{HITS}, {MANIFEST}, {BEST}, h AS (SELECT best.*, trim(coalesce(stock_code, '')) AS code, trim(coalesce(rating, '')) AS rated, array_to_string(list_filter([section_title, best.text, display_name, best.company_name, report_title, broker, rating], lambda x: x <> ''), chr(10)) AS blob
+        FROM best LEFT JOIN (SELECT doc_id, stock_code, report_title, broker, rating FROM manifest) USING (doc_id)),
+    e AS (SELECT row_id, query_type, category, doc_id, coalesce(answer, '') AS answer, coalesce(refused, false) AS refused, citation_count, top1_chunk_id, trim(coalesce(stock_code, '')) AS want, list_slice(list_distinct_in_order, 1, 3) AS tokens
+        FROM (SELECT *, list_reduce(list_prepend([], list_transform(regexp_extract_all(coalesce(gold_answer, ''), '[0-9]+(?:\\.[0-9]+)?%?'), lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS list_distinct_in_order FROM {_E})),
+    j AS (SELECT e.*, h.* EXCLUDE (doc_id), code = (SELECT max(stock_code) FROM companies) AS never, (want = '' OR code = want) AS stock_ok, (len(tokens) = 0 OR len(list_filter(tokens, lambda t: contains(blob, t) OR contains(regexp_replace(blob, '[^0-9.]', '', 'g'), regexp_replace(t, '[^0-9.]', '', 'g')))) > 0) AS token_ok,
+        {_has('rated', metrics.RATED)} OR (CASE WHEN len(tokens) > 0 THEN len(list_filter(tokens, lambda t: contains(rated, t) OR contains(regexp_replace(rated, '[^0-9.]', '', 'g'), regexp_replace(t, '[^0-9.]', '', 'g')))) > 0 ELSE {_has('rated', ('评级', '投资评级', '买入', '增持', '推荐', '优于大市'))} END) AS rating_ok FROM e JOIN h ON e.doc_id = h.doc_id),
+    rel AS (SELECT *, CASE WHEN never THEN false WHEN chunk_id = top1_chunk_id THEN true WHEN token_ok THEN true ELSE coalesce(category = 'rating' AND stock_ok AND rating_ok, false) END AS relevant FROM j)"""
 
 _ROUTES = f"""{HITS}, want AS (SELECT query_id, min(company_name) AS want FROM hits WHERE stage = 'rerank' AND rank = 1 GROUP BY query_id),
     rel AS (SELECT query_id, stage AS route, rank, coalesce(company_name = want, false) AS relevant FROM hits JOIN want USING (query_id)),
@@ -276,9 +340,13 @@ SQL = {
         SELECT query_id, chunk_id, CAST(score_rerank AS DOUBLE) AS score_rerank, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score_rerank DESC, chunk_id) AS rank FROM s) WHERE rank <= 3""",
     "distinct_sources_topk": f"WITH {HITS} SELECT query_id, stage, count(DISTINCT trim(company_name)) AS companies FROM hits WHERE rank <= 5 AND trim(company_name) <> '' GROUP BY query_id, stage",
     "evidence_intents": f"SELECT row_id, {_intent('query', 'query_type')} AS intents FROM {_E}",
-    "evidence_select": f"""WITH {_GATED}, p AS (SELECT *, CASE WHEN key = '' THEN 'unknown' ELSE key END AS k FROM (SELECT *, substring(regexp_replace(trim(section), '^表[0-9]+\\s*', ''), 1, 40) AS key FROM s WHERE rank <= 10)),
-        t AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY query_id, k ORDER BY score_selected DESC, rank) <= 2 THEN 0 ELSE 1 END AS tier, row_number() OVER (PARTITION BY query_id ORDER BY score_selected DESC, rank) AS by_score FROM p)
-        SELECT query_id, hit_id, score_selected, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, by_score) AS place FROM t) WHERE place <= 3""",
+    "evidence_select": f"""WITH {_GATED}, p AS (SELECT *, CASE WHEN key = '' THEN 'unknown' ELSE key END AS k FROM (SELECT *, substring(regexp_replace(trim(section), '^表[0-9]+\\s*', ''), 1, 40) AS key, row_number() OVER (PARTITION BY query_id ORDER BY score_selected DESC NULLS LAST, rank) AS by_score FROM s WHERE rank <= 10)),
+        a AS (SELECT *, min(by_score) FILTER (len(names) >= 2 AND length(trim(names[1])) >= 2 AND contains(blob, trim(names[1]))) OVER (PARTITION BY query_id) AS first FROM p),
+        b AS (SELECT *, min(by_score) FILTER (len(names) >= 2 AND length(trim(names[2])) >= 2 AND contains(blob, trim(names[2])) AND by_score IS DISTINCT FROM first) OVER (PARTITION BY query_id) AS second FROM a),
+        c AS (SELECT *, CASE WHEN by_score = first THEN 0 WHEN by_score = second THEN 1 END AS cover FROM b),
+        t AS (SELECT *, CASE WHEN cover IS NOT NULL THEN -1 WHEN row_number() OVER (PARTITION BY query_id, k ORDER BY cover NULLS LAST, by_score) <= 2 THEN 0 ELSE 1 END AS tier FROM c)
+        SELECT query_id, hit_id, score_selected, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, cover NULLS LAST, by_score) AS place FROM t) WHERE place <= 3""",
+    "relevance": f"WITH {_GRADED} SELECT query_type, category, count(*) AS n, count(*) FILTER (relevant) AS n_relevant FROM rel GROUP BY query_type, category",
     "evidence_gate": f"WITH {_GATED} SELECT query_id, n_hits, top_score, reason, reason = '' AS passed FROM gate",
     "refusal_breakdown": f"WITH {_GATED} SELECT reason, count(*) AS n, round(avg(top_score), 6) AS mean_top_score FROM gate GROUP BY reason",
     "citations": f"""WITH {HITS} SELECT query_id, rank AS idx, chunk_id, '[' || rank || '] ' || concat_ws('，', coalesce(nullif(trim(display_name), ''), nullif(trim(company_name), ''), nullif(trim(doc_id), ''), ''),
@@ -296,8 +364,12 @@ SQL = {
         w AS (SELECT *, round(weight * coalesce(nv, 0) + (1 - weight) * coalesce(nb, 0), 6) AS score FROM n, (SELECT unnest([0.3::DOUBLE, 0.35, 0.4, 0.5, 0.6, 0.7]) AS weight)),
         t AS (SELECT *, row_number() OVER (PARTITION BY query_id, weight ORDER BY score DESC, chunk_id) AS rank FROM w)
         SELECT weight, count(*) AS n, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_3, round(avg(1 / rank), 6) AS mrr FROM t WHERE r = 1 GROUP BY weight""",
-    "citation_accuracy": f"""WITH c AS (SELECT query_type, citation_count, len(list_distinct(regexp_extract_all(coalesce(answer, ''), '\\[(\\d+)\\]', 1))) AS marks, starts_with(coalesce(top1_chunk_id, ''), coalesce(doc_id, '')) AS own FROM {_E} WHERE NOT coalesce(refused, false))
-        SELECT query_type, count(*) AS n, round(avg((coalesce(citation_count > 0, false)::INT + (marks > 0)::INT + coalesce(marks <= citation_count, false)::INT + own::INT) / 4), 6) AS accuracy FROM c GROUP BY query_type""",
+    "citation_accuracy": f"""WITH {_GRADED}, c AS (SELECT *, coalesce(nullif(trim(coalesce(display_name, '')), ''), nullif(trim(coalesce(company_name, '')), ''), trim(coalesce(doc_id, ''))) AS source, coalesce(page_start, 0) AS page FROM rel WHERE rank <= citation_count),
+        k AS (SELECT row_id, count(*) AS n, bool_and(page > 0) AS paged, bool_and(source <> '') AS sourced, bool_or(relevant OR chunk_id = top1_chunk_id) AS fits, bool_or((want <> '' AND code <> '' AND code <> want) OR never) AS apart, bool_or((page > 0 AND contains(answer, CAST(page AS VARCHAR))) OR (source <> '' AND contains(answer, substring(source, 1, 8)))) AS named FROM c GROUP BY row_id),
+        a AS (SELECT e.*, coalesce(n, 0) > 0 AS has, coalesce(paged, false) AS paged, coalesce(sourced, false) AS sourced, coalesce(fits, false) AS fits, NOT coalesce(apart, false) AS aligned, len(tokens) = 0 OR len(list_filter(tokens, lambda t: contains(answer, t) OR contains(regexp_replace(answer, '[^0-9.]', '', 'g'), regexp_replace(t, '[^0-9.]', '', 'g')))) > 0 AS told,
+            coalesce(n, 0) > 0 AND (regexp_matches(answer, '\\[\\d+\\]') OR contains(answer, '参考文献') OR coalesce(named, false)) AS refs FROM e LEFT JOIN k USING (row_id))
+        SELECT query_type, NOT refused AS applicable, count(*) AS n, round(avg(CASE WHEN refused THEN CASE WHEN has THEN 0.0 ELSE 1.0 END ELSE (has::INT + paged::INT + sourced::INT + fits::INT + told::INT + aligned::INT + refs::INT) / 7 END), 6) AS accuracy, count(*) FILTER (has) AS n_has_citations, count(*) FILTER (refused OR paged) AS n_pages_present,
+            count(*) FILTER (refused OR sourced) AS n_sources_present, count(*) FILTER (refused OR fits) AS n_cited_chunk_relevant, count(*) FILTER (refused OR told) AS n_must_tokens_in_answer, count(*) FILTER (refused OR aligned) AS n_doc_stock_aligned, count(*) FILTER (refused OR refs) AS n_refs_in_answer FROM a GROUP BY query_type, refused""",
     "refusal_accuracy": f"SELECT strategy, count(*) AS n, count(*) FILTER (refused) AS n_refused, round(avg(CASE WHEN refused = (top_rerank_score < 0.35) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM {_E} WHERE refused IS NOT NULL AND top_rerank_score IS NOT NULL GROUP BY strategy",
     "answer_support": f"""WITH g AS (SELECT query_type, strategy, coalesce(answer, '') AS a, coalesce(refused, false) AS refused, list_distinct(regexp_extract_all(coalesce(gold_answer, ''), '[\\d.]+%?|[A-Za-z]{{2,}}|[一-鿿]{{2,}}')) AS t FROM {_E})
         SELECT query_type, strategy, count(*) AS n, count(*) FILTER (NOT refused AND CASE WHEN len(t) > 0 THEN len(list_filter(t, lambda x: contains(a, x))) >= least(2, len(t)) ELSE length(a) > 40 END) AS n_supported FROM g GROUP BY query_type, strategy""",
@@ -308,6 +380,20 @@ SQL = {
     "missing_gold_anti": f"SELECT row_id, top1_chunk_id FROM {_E} WHERE top1_chunk_id IS NOT NULL AND top1_chunk_id NOT IN (SELECT chunk_id FROM retrieved_chunks WHERE chunk_id IS NOT NULL)",
     "cache_ttl": f"""WITH e AS (SELECT query_type, created_at, CASE WHEN coalesce(refused, false) THEN 900 WHEN query_type = 'summary' THEN 14400 ELSE 43200 END AS ttl_s FROM {_E} WHERE query_type IS DISTINCT FROM 'comparative')
         SELECT query_type, ttl_s, count(*) AS n, count(*) FILTER (coalesce(TIMESTAMP '{_NOW}' >= created_at + to_seconds(ttl_s), true)) AS n_expired FROM e GROUP BY query_type, ttl_s""",
+    "cache_flow": f"""WITH m AS (SELECT row_id, query_type, trim(coalesce(stock_code, '')) AS stock, stock_code, coalesce(refused, false) AS refused, created_at, embedding, top1_chunk_id, coalesce(list_filter(regexp_extract_all(coalesce(query, ''), '[0-9]+'), lambda x: length(x) = 4 AND x LIKE '20%')[-1], '') AS year, trim(query) AS asked,
+            'stock=' || coalesce(nullif(trim(coalesce(stock_code, '')), ''), '-') || '|qtype=' || coalesce(nullif(trim(coalesce(query_type, '')), ''), 'factual') || '|co=-|yr=-|doc=-|ver=-' AS meta FROM {_E} LEFT JOIN embeddings ON vec_id = row_id),
+        k AS (SELECT *, concat_ws('|', asked, meta) AS key FROM m), known AS (SELECT DISTINCT chunk_id FROM retrieved_chunks WHERE chunk_id IS NOT NULL),
+        e AS (SELECT * FROM k WHERE row_id % 3 = 0 AND query_type IS DISTINCT FROM 'comparative' AND created_at + to_seconds(34560000) > TIMESTAMP '{_NOW}'), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY created_at DESC, row_id DESC) AS n FROM e) WHERE n = 1),
+        c AS (SELECT r.row_id AS request_id, f.row_id AS entry_id, 'L1' AS layer, 0 AS place, 1.0 AS similarity, true AS exact, r, f AS e FROM k r JOIN f ON r.key = f.key),
+        x AS (SELECT *, CASE WHEN r.stock <> '' AND e.stock_code IS DISTINCT FROM r.stock_code THEN 'stock_code_mismatch' WHEN e.query_type IS DISTINCT FROM r.query_type THEN 'query_type_mismatch' WHEN r.year <> '' AND e.year <> r.year THEN 'report_year_mismatch' WHEN entry_id % 5 = 0 THEN 'index_fingerprint_mismatch'
+            WHEN entry_id % 7 = 0 THEN 'generation_fingerprint_mismatch' WHEN e.top1_chunk_id IS NOT NULL AND e.top1_chunk_id NOT IN (SELECT chunk_id FROM known) THEN 'chunk_missing' ELSE '' END AS reason FROM c),
+        s AS (SELECT r.row_id AS request_id, e.row_id AS entry_id, round(list_cosine_similarity(CAST(r.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS similarity, r, e FROM k r JOIN e ON r.meta = e.meta WHERE r.row_id NOT IN (SELECT request_id FROM x WHERE reason = '')),
+        t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY similarity DESC NULLS LAST, entry_id) AS place FROM s) WHERE place <= 5 AND similarity IS NOT NULL),
+        y AS (SELECT request_id, entry_id, 'L2' AS layer, place, similarity, CASE WHEN r.stock <> '' AND e.stock_code IS DISTINCT FROM r.stock_code THEN 'stock_code_mismatch' WHEN e.query_type IS DISTINCT FROM r.query_type THEN 'query_type_mismatch' WHEN r.year <> '' AND e.year <> r.year THEN 'report_year_mismatch' WHEN entry_id % 5 = 0 THEN 'index_fingerprint_mismatch'
+            WHEN entry_id % 7 = 0 THEN 'generation_fingerprint_mismatch' WHEN similarity < 0.88 THEN 'similarity_below_threshold' WHEN e.top1_chunk_id IS NOT NULL AND e.top1_chunk_id NOT IN (SELECT chunk_id FROM known) THEN 'chunk_missing' ELSE '' END AS reason FROM t),
+        z AS (SELECT request_id, entry_id, layer, place, similarity, reason FROM x UNION ALL SELECT request_id, entry_id, layer, place, similarity, reason FROM y), o AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY layer, place) AS n FROM z),
+        b AS (SELECT request_id, arg_min(layer, n) FILTER (reason = '') AS layer, arg_min(entry_id, n) FILTER (reason = '') AS entry_id, arg_min(similarity, n) FILTER (reason = '') AS similarity, arg_min(reason, n) AS reason FROM o GROUP BY request_id)
+        SELECT row_id AS request_id, coalesce(layer, 'miss') AS layer, entry_id, CAST(coalesce(similarity, 0) AS DOUBLE) AS similarity, CASE WHEN layer IS NOT NULL THEN '' ELSE coalesce(reason, '') END AS reason FROM k LEFT JOIN b ON request_id = row_id""",
     "cache_l2_lookup": f"""WITH p AS (SELECT q.vec_id AS request_id, e.vec_id AS entry_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % {EVERY} = 0 AND e.vec_id % {EVERY} <> 0)
         SELECT request_id, entry_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY similarity DESC, entry_id) AS place FROM p) WHERE place = 1 AND similarity >= 0.1""",
     "cache_stats": """SELECT count(*) AS n_requests, count(*) FILTER (event_type <> 'error') AS n_hits, count(*) FILTER (event_type = 'click') AS n_l1, count(*) FILTER (event_type = 'view') AS n_l2, round(count(*) FILTER (event_type <> 'error') / count(*), 6) AS hit_rate,

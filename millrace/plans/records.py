@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.functions import query as qf
 from millrace.functions import text as tx
 from millrace.operators import cache, chunking, evidence, metrics, models, records, retrieval
-from millrace.plans.common import MANIFEST, UNITS, asked, hits, manifest, questions, units
+from millrace.plans.common import MANIFEST, UNITS, asked, best_chunks, hits, manifest, questions, units
 from millrace.session import cut
 from millrace.sources.tables import table
 
@@ -82,11 +81,8 @@ def appendix_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def prompts(spark: SparkSession, folder: str) -> DataFrame:
     """For each question the prompt with its document's first three reranked passages, which are chosen once for each document."""
-    found = hits(spark, folder).where("stage = 'rerank'").dropDuplicates(["chunk_id"])
     wanted = questions(spark, folder).select(F.col("row_id").alias("query_id"), "doc_id", "query", F.col("query_type").alias("kind"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc_nulls_last("score_rerank"), "chunk_id")
-    best = found.drop("query_id").withColumn("idx", F.row_number().over(w)).where("idx <= 3")
-    top = wanted.join(best, "doc_id")
+    top = wanted.join(best_chunks(spark, folder).withColumnRenamed("rank", "idx"), "doc_id")
     page = evidence.page_label(F.col("page_start"), F.col("page_end"))
     text = evidence.passage(F.col("company_name"), F.col("section_title"), F.col("text"))
     block = records.context_block(F.col("idx"), F.col("company_name"), F.col("section_title"), page, text)
@@ -131,7 +127,7 @@ def token_aliases(spark: SparkSession, folder: str) -> DataFrame:
     """How many hits hold a metric by any of its names."""
     names = F.explode(F.array(*map(F.lit, metrics.ALIASES))).alias("token")
     rows = hits(spark, folder).select("text", names)
-    return rows.groupBy("token").agg(F.count_if(metrics.any_token(F.col("text"), metrics.expanded(F.array("token")))).alias("n"))
+    return rows.groupBy("token").agg(F.count_if(metrics.any_token(F.col("text"), F.array("token"))).alias("n"))
 
 
 QUERIES = [

@@ -85,3 +85,16 @@ def test_merged_titles(spark):
     df = spark.createDataFrame(rows, "t array<string>")
     got = [r[0] for r in df.select(tx.merged_titles(F.col("t"))).collect()]
     assert got == [["产能释放带动业绩，海外需求持续向好并超出此前预期", "投资要点"], ["新品周期开启带动公司盈利能力持续改善提升", "短标题"], [], []]
+
+
+def test_paraphrases(spark):
+    said = lambda q: {v: one(spark, qf.paraphrase(F.col("q"), F.lit(v)), q=q) for v in qf.PARAPHRASES}
+    assert said("甲乙科技2025年每股收益是多少？") == {
+        "polite_prefix": "请问甲乙科技2025年每股收益是多少？", "polite_tell": "请告诉我2025年甲乙科技的每股收益？", "synonym_metric": "甲乙科技2025年EPS是多少？", "word_order": "2025年甲乙科技EPS？"[:-1],
+        "punctuation": "甲乙科技2025年每股收益是？", "filler_suffix": "甲乙科技2025年每股收益是多少（帮忙查一下）？",
+    }
+    assert said("请问风险吗？")["polite_prefix"] == "请问风险吗？" and said("请问风险吗？")["punctuation"] == "请问风险？" and said(None)["filler_suffix"] == "（帮忙查一下）？"
+
+
+def test_compatibility_forms(spark):
+    assert one(spark, qf.cache_text(F.col("q")), q="Ｐ／Ｅ①　甲") == "P/E1甲"
