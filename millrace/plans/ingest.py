@@ -52,6 +52,21 @@ def report_dates(spark: SparkSession, folder: str) -> DataFrame:
     return manifest(spark, folder).select("doc_id", iso.alias("report_day"))
 
 
+def dates_in_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The dates that units and the manifest's spellings name, with how often."""
+    spelled = manifest(spark, folder).select(F.concat(F.lit("发布时间："), F.col("report_date")).alias("text")).unionByName(manifest(spark, folder).select(F.col("report_date").alias("text")))
+    rows = units(spark, folder).select("text").unionByName(spelled)
+    return rows.groupBy(tx.report_date_named_in(F.col("text")).alias("day")).agg(F.count("*").alias("n"))
+
+
+def names_in_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Brokers and ratings that the headings of reports and the texts of units name, with how often."""
+    heads = manifest(spark, folder).select(F.concat_ws(" ", "broker", "report_title", F.concat(F.lit("投资评级："), "rating")).alias("text"))
+    both = units(spark, folder).select("text").unionByName(heads)
+    rows = both.select(tx.broker_named_in(F.col("text")).alias("broker"), tx.rating_named_in(F.col("text")).alias("rating"))
+    return rows.groupBy("broker", "rating").agg(F.count("*").alias("n"))
+
+
 def sentences(spark: SparkSession, folder: str) -> DataFrame:
     rows = units(spark, folder).where("unit_type = 'paragraph'").select("unit_id", tx.sentences_of(F.col("text")).alias("s"))
     return rows.select("unit_id", F.size("s").alias("n_sentences"), F.array_max(F.transform("s", F.length)).alias("longest"))
@@ -125,8 +140,8 @@ def upsert_by_doc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pending_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents of the manifest of which no chunk was ever retrieved."""
-    return io.pending(manifest(spark, folder), hits(spark, folder), "doc_id").select("doc_id", "chunk_count")
+    """Documents of the manifest of which no chunk ever was the first after reranking."""
+    return io.pending(manifest(spark, folder), hits(spark, folder).where("stage = 'rerank' AND rank = 1"), "doc_id").select("doc_id", "chunk_count")
 
 
 def document_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -148,7 +163,7 @@ def audit_hits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = [
-    normalize_text, html_to_text, line_filter, noise_sections, prepared_units, display_names, report_dates, sentences, section_carry, doc_context_first, chunk_pack, split_oversized,
+    normalize_text, html_to_text, line_filter, noise_sections, prepared_units, display_names, report_dates, dates_in_text, names_in_text, sentences, section_carry, doc_context_first, chunk_pack, split_oversized,
     appendix_islands, renumber, token_budget, chunk_validation, table_unpivot, table_narratives, year_columns, upsert_by_doc, pending_documents, document_counts,
     audit_latest_status, audit_lifecycle, audit_hits,
 ]
@@ -156,7 +171,69 @@ QUERIES = [
 _TOKENS = "len(regexp_extract_all(coalesce(text, ''), '[㐀-䶿一-鿿]|[A-Za-z0-9]+'))"
 _LATEST = "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC NULLS LAST, finished_at DESC NULLS LAST, status DESC NULLS LAST, duration_ms DESC NULLS LAST) AS n FROM rag_requests) WHERE n = 1)"
 
+_BLANK = r"[\s\p{Z}]"
+
+
+def _strip(text: str) -> str:
+    return f"regexp_replace(regexp_replace({text}, '^{_BLANK}+', ''), '{_BLANK}+$', '')"
+
+
+def _replace(text: str, *steps: tuple[str, str]) -> str:
+    for pattern, new in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
+    return text
+
+
+def _unescape(text: str) -> str:
+    for a, b in tx.ENTITIES:
+        text = f"replace({text}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
+    return text
+
+
+def _markers(text: str) -> str:
+    steps = [
+        (r"\[Table_StockAndRan([^\]\(]+)\(\s*(\d{6})", r"\1(\2"), (r"\[Table_Title\]", ""), (r"\[Table_Author\]\s*", ""), (r"\[T[^\]]*?ummary\]\s*", ""), (r"\[Table_[^\]]+\]", ""), (r"^\[Table_\S+", ""),
+        (r"\[财[^\]]*比率[^\]]*\]", "财务报表和主要财务比率"), (r"^[lL]\s+", ""),
+    ]
+    return _strip(_replace(text, *steps))
+
+
+def _normal(text: str) -> str:
+    return _markers(_strip(_replace(_unescape(f"coalesce({text}, '')"), ("[　\u00a0]", " "), (r"\r\n?", "\n"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"))))
+
+
+def _cells(row: str) -> str:
+    return f"list_filter(list_transform(string_split(coalesce({row}, ''), '|'), lambda x: {_strip('x')}), lambda x: x <> '')"
+
+
+_LEGAL = _has("t", tx.LEGAL_TEXTS)
+_BROKER = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}'" for p, n in tx.BROKERS) + " ELSE '' END"
+_SALE = "regexp_matches(coalesce(text, ''), '股东减持|减持计划|减持比例|减持完毕|减持股份')"
+_RATED = "coalesce(" + ", ".join(f"CASE WHEN regexp_extract(coalesce(text, ''), '{p}', 1) <> '' AND NOT ({_SALE} AND regexp_extract(coalesce(text, ''), '{p}', 1) = '减持') THEN regexp_extract(coalesce(text, ''), '{p}', 1) || CASE WHEN regexp_extract(coalesce(text, ''), '{p}', 2) <> '' THEN '/' || regexp_extract(coalesce(text, ''), '{p}', 2) ELSE '' END END" for p in tx.RATINGS) + ", '')"
+
+def _line_list(text: str) -> str:
+    return f"list_filter(list_transform(string_split({text}, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '')"
+
+
+_KEPT = _normal(f"array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT regexp_matches(x, '{tx.ANALYST_LINE}')), chr(10))")
+_CONCLUSION = f"regexp_matches(coalesce(text, ''), '{tx.RATING_CONCLUSION}')"
+_TITLE = "coalesce(section_title, '')"
+_NOISE = f"""CASE WHEN (contains({_TITLE}, '风险提示') OR {_strip(_TITLE)} IN ('核心风险提示', 'l 风险提示')) AND contains(coalesce(text, ''), '风险') THEN false WHEN {_has(_TITLE, tx.NOISE_SECTIONS)} THEN true WHEN {_strip(_TITLE)} IN ('研究所', '电子组', '分析师介绍') THEN true
+    WHEN {_strip(_TITLE)} IN ('投资评级', '上次评级') THEN NOT {_CONCLUSION} AND NOT contains(coalesce(text, ''), '评级') WHEN contains(coalesce(text, ''), '风险提示') AND NOT contains(coalesce(text, ''), '投资评级') THEN false ELSE ({" OR ".join(f"regexp_matches(coalesce(text, ''), '{p}')" for p in tx.NOISE_TEXTS)}) AND NOT {_CONCLUSION} END"""
+
 SQL = {
+    "line_filter": f"WITH {UNITS}, k AS (SELECT unit_type, len({_line_list("coalesce(text, '')")}) AS a, len({_line_list(_KEPT)}) AS b, {_NOISE} AS noise FROM units) SELECT unit_type, CAST(sum(a) AS BIGINT) AS n_before, CAST(sum(b) AS BIGINT) AS n_after, count(*) FILTER (noise) AS n_noise FROM k GROUP BY unit_type",
+    "normalize_text": f"WITH {UNITS}, n AS (SELECT unit_id, {_normal('text')} AS t FROM units) SELECT unit_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS digest FROM n",
+    "html_to_text": f"""SELECT doc_id, md5({_normal(_replace(_unescape("coalesce(text, '')"), (r"(?i)</tr>", chr(10)), (r"(?i)</t[dh]>", " | "), (r"<[^>]+>", "")))}) AS digest FROM documents WHERE contains(text, '<t')""",
+    "sentences": f"""WITH {UNITS}, s AS (SELECT unit_id, coalesce(text, '') AS text, list_filter(list_transform(string_split({_replace("coalesce(text, '')", (r"([。！？；!?])\s*", chr(92) + "1" + chr(1)))}, chr(1)), lambda x: {_strip('x')}), lambda x: x <> '') AS s FROM units WHERE unit_type = 'paragraph'),
+        t AS (SELECT unit_id, CASE WHEN len(s) > 0 THEN s ELSE [text] END AS s FROM s) SELECT unit_id, CAST(len(s) AS INTEGER) AS n_sentences, CAST(list_max(list_transform(s, lambda x: length(x))) AS INTEGER) AS longest FROM t""",
+    "section_carry": f"""WITH {UNITS}, o AS (SELECT doc_id, unit_id, unit_type, coalesce(last_value(CASE WHEN unit_type = 'title' THEN {_normal('text')} END IGNORE NULLS) OVER w, '') AS section_title, sum(CASE WHEN unit_type = 'table' THEN 1 ELSE 0 END) OVER w AS n FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY coalesce(page_number, 0), unit_id ROWS UNBOUNDED PRECEDING))
+        SELECT unit_id, section_title, CASE WHEN unit_type = 'table' THEN doc_id || '_t' || lpad(CAST(n AS VARCHAR), CAST(greatest(2, length(CAST(n AS VARCHAR))) AS INTEGER), '0') ELSE '' END AS table_id FROM o WHERE unit_type NOT IN ('page_header', 'page_footer', 'page_number', 'page_aside_text', 'page_footnote')""",
+    "year_columns": f"""WITH {UNITS} SELECT unit_id, array_to_string(list_filter({_cells('table_header')}, lambda c: regexp_matches(replace(c, ' ', ''), '^\\d{{4}}[AEFH]?$')), ',') AS years, regexp_matches(coalesce(table_caption, '') || ' ' || coalesce(table_header, ''), '可比公司|PE估值') AS comparable FROM units WHERE unit_type = 'table' AND table_header IS NOT NULL""",
+    "dates_in_text": f"""WITH {UNITS}, {MANIFEST}, a AS (SELECT coalesce(text, '') AS t FROM units UNION ALL SELECT coalesce('发布时间：' || report_date, '') FROM manifest UNION ALL SELECT coalesce(report_date, '') FROM manifest),
+        d AS (SELECT t, regexp_extract(t, '发布时间[：:]\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) AS stamped, regexp_extract(t, '(\\d{{4}})\\s*年\\s*(\\d{{1,2}})\\s*月\\s*(\\d{{1,2}})\\s*日', ['y', 'm', 'd']) AS p FROM a)
+        SELECT CASE WHEN {_LEGAL} THEN '' WHEN stamped <> '' THEN stamped WHEN p.y <> '' THEN p.y || '-' || lpad(p.m, 2, '0') || '-' || lpad(p.d, 2, '0') ELSE '' END AS day, count(*) AS n FROM d GROUP BY 1""",
+    "names_in_text": f"WITH {UNITS}, {MANIFEST}, a AS (SELECT text FROM units UNION ALL SELECT concat_ws(' ', broker, report_title, '投资评级：' || rating) FROM manifest) SELECT {_BROKER} AS broker, {_RATED} AS rating, count(*) AS n FROM a GROUP BY 1, 2",
     "noise_sections": f"WITH {UNITS} SELECT {_has('coalesce(section_title, chr(32))', tx.NOISE_SECTIONS)} AS noise_section, coalesce(is_noise, false) AS is_noise, count(*) AS n FROM units GROUP BY 1, 2",
     "display_names": f"""WITH {MANIFEST}, p AS (SELECT *, CASE WHEN coalesce(company_name, '') <> '' THEN company_name || CASE WHEN coalesce(stock_code, '') <> '' THEN '（' || stock_code || '）' ELSE '' END END AS headline FROM manifest),
         h AS (SELECT *, concat_ws(' — ', headline, CASE WHEN coalesce(report_title, '') <> '' AND (coalesce(company_name, '') = '' OR (report_title <> company_name AND report_title <> headline)) THEN report_title END) AS head,
@@ -181,7 +258,7 @@ SQL = {
     "upsert_by_doc": """WITH f AS (SELECT doc_id, min(updated_at) AS updated_at, min(chunk_count) AS chunk_count FROM doc_manifest GROUP BY doc_id),
         l AS (SELECT DISTINCT ON (m.doc_id) m.doc_id, m.updated_at, m.chunk_count FROM doc_manifest m JOIN f ON f.doc_id = m.doc_id AND m.updated_at > f.updated_at ORDER BY m.doc_id, m.updated_at DESC)
         SELECT doc_id, updated_at, chunk_count, false AS replaced FROM f ANTI JOIN l USING (doc_id) UNION ALL SELECT doc_id, updated_at, chunk_count, true FROM l""",
-    "pending_documents": f"WITH {MANIFEST} SELECT doc_id, chunk_count FROM manifest WHERE doc_id NOT IN (SELECT doc_id FROM retrieved_chunks WHERE doc_id IS NOT NULL)",
+    "pending_documents": f"WITH {MANIFEST} SELECT doc_id, chunk_count FROM manifest WHERE doc_id NOT IN (SELECT doc_id FROM retrieved_chunks WHERE doc_id IS NOT NULL AND stage = 'rerank' AND rank = 1)",
     "document_counts": f"WITH {MANIFEST}, {UNITS} SELECT doc_id, chunk_count, coalesce(n, 0) AS n_chunks FROM manifest LEFT JOIN (SELECT doc_id, count(*) AS n FROM units GROUP BY doc_id) USING (doc_id)",
     "audit_latest_status": f"WITH {_LATEST} SELECT id, request_type, status, duration_ms FROM latest",
     "audit_lifecycle": f"""WITH {_LATEST}, t AS (SELECT *, CAST(trunc((epoch_us(finished_at) - epoch_us(created_at)) / 1000) AS BIGINT) AS ms FROM latest)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import query as qf
-from millrace.functions.text import text_or_empty
+from millrace.functions.text import stripped, text_or_empty
 from millrace.operators import cache, evidence, metrics, retrieval
 from millrace.plans.common import BEST, EVERY, HITS, MANIFEST, SCORED, TOKENS, asked, best_chunks, gated, hits, lexical_hits, manifest, questions
 from millrace.plans.search import _has
@@ -174,13 +174,16 @@ def answer_support(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def answer_bodies(spark: SparkSession, folder: str) -> DataFrame:
-    body = F.trim(F.substring_index(text_or_empty(F.col("answer")), "\n参考来源", 1))
+    body = stripped(F.substring_index(text_or_empty(F.col("answer")), "\n参考来源", 1))
     return questions(spark, folder).select("row_id", F.length(body).alias("n_chars"), F.md5(body).alias("digest"))
 
 
 def gold_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """For each question searched for, the three chunks of its document that hold most of its gold answer's pairs of letters."""
-    wanted = asked(spark, folder).select("query_id", "doc_id", F.explode(F.array_distinct(retrieval.tokens(F.col("gold_answer")))).alias("token"))
+    """For each question the three chunks of its document that hold most of its gold answer's pairs of letters.
+
+    A document that holds a tenth of the rows is spread: the join is by document and token.
+    """
+    wanted = questions(spark, folder).select(F.col("row_id").alias("query_id"), "doc_id", F.explode(F.array_distinct(retrieval.tokens(F.col("gold_answer")))).alias("token"))
     have = hits(spark, folder).select("doc_id", "chunk_id", "text").dropDuplicates(["chunk_id"]).select("doc_id", "chunk_id", F.explode(F.array_distinct(retrieval.tokens(F.col("text")))).alias("token"))
     counted = wanted.join(have, ["doc_id", "token"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("score"))
     return retrieval.ranked(counted, "query_id", "chunk_id", F.col("score"), 3)
@@ -333,7 +336,19 @@ _ROUTES = f"""{HITS}, want AS (SELECT query_id, min(company_name) AS want FROM h
     per AS (SELECT route, CASE query_id % 3 WHEN 0 THEN 'comparative' WHEN 1 THEN 'factual' ELSE 'summary' END AS query_type, min(rank) FILTER (relevant) AS first, count(*) FILTER (relevant AND rank <= 5) AS n5, count(*) FILTER (relevant AND rank <= 10) AS n10 FROM rel GROUP BY route, query_id)"""
 _MEANS = ", ".join([f"round(avg(CASE WHEN first <= {k} THEN 1.0 ELSE 0.0 END), 6) AS recall_at_{k}" for k in (3, 5, 10)] + ["round(avg(n5 / 5), 6) AS precision_at_5", "round(avg(n10 / 10), 6) AS precision_at_10", "round(avg(coalesce(1 / first, 0)), 6) AS mrr"])
 
+_LABEL = "CASE refusal_reason " + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in evidence.REFUSALS.items()) + " ELSE '证据不足' END"
+
 SQL = {
+    "refusal_messages": f"""SELECT row_id, CASE WHEN refusal_reason = '' THEN '' WHEN refusal_reason = 'low_rerank_score' THEN '我不确定：' || {_LABEL} || '（Top-1 rerank=' || printf('%.3f', top_rerank_score) || '，阈值=0.35），无法基于当前检索结果可靠回答。' WHEN refusal_reason = 'no_hits' THEN '我不确定：' || {_LABEL} || '，无法回答该问题。'
+        WHEN refusal_reason = 'missing_source_page' THEN '我不确定：' || {_LABEL} || '，无法生成带页码引用的答案。' WHEN refusal_reason = 'comparative_insufficient' THEN '我不确定：' || {_LABEL} || '（需至少 2 个主体，当前仅 0 个），无法完成对比回答。'
+        WHEN refusal_reason = 'stock_mismatch' THEN '我不确定：检索证据未覆盖指定股票（），无法可靠回答。' ELSE '我不确定：' || {_LABEL} || '，无法基于当前检索结果可靠回答。' END AS message FROM {_E} WHERE refusal_reason IS NOT NULL""",
+    "answer_bodies": f"WITH b AS (SELECT row_id, regexp_replace(regexp_replace(split_part(coalesce(answer, ''), chr(10) || '参考来源', 1), '^[\\s\\p{{Z}}]+', ''), '[\\s\\p{{Z}}]+$', '') AS t FROM {_E}) SELECT row_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS digest FROM b",
+    "comparative_quota": f"""WITH {HITS}, best AS (SELECT query_id, chunk_id, max(score_rerank) AS score, min(company_name) AS company FROM hits WHERE stage = 'rerank' GROUP BY query_id, chunk_id), names AS (SELECT query_id, rank AS pos, min(company_name) AS entity FROM hits WHERE stage = 'rerank' AND rank <= 2 AND company_name IS NOT NULL GROUP BY query_id, rank),
+        two AS (SELECT query_id FROM names GROUP BY query_id HAVING count(DISTINCT entity) = 2), n AS (SELECT * FROM names WHERE query_id IN (SELECT query_id FROM two)),
+        p AS (SELECT b.*, pos, (trim(coalesce(company, '')) <> '' AND trim(entity) <> '' AND (contains(trim(company), trim(entity)) OR contains(trim(entity), trim(company)))) AS own FROM best b JOIN n USING (query_id)), a AS (SELECT *, bool_or(coalesce(own, false)) OVER (PARTITION BY query_id, pos) AS any_own FROM p),
+        f AS (SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY score DESC NULLS LAST, chunk_id) AS place FROM a WHERE coalesce(own, false) OR NOT any_own), g AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY pos) AS seen FROM f WHERE place <= 2), s AS (SELECT query_id, chunk_id, pos, place FROM g WHERE seen = 1),
+        r AS (SELECT query_id, chunk_id, 9 AS pos, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, chunk_id) AS place FROM best b WHERE query_id IN (SELECT query_id FROM two) AND NOT EXISTS (SELECT 1 FROM s WHERE s.query_id = b.query_id AND s.chunk_id = b.chunk_id))
+        SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY pos, place, chunk_id) AS rank FROM (SELECT * FROM s UNION ALL SELECT * FROM r)) WHERE rank <= 5""",
     "rerank_topk": f"""WITH {HITS}, f AS (SELECT query_id, min(coalesce(section_title, '')) AS query FROM hits WHERE stage = 'rerank' AND rank = 1 GROUP BY query_id),
         t AS (SELECT h.query_id, h.chunk_id, list_distinct({TOKENS.format('f.query')}) AS a, {TOKENS.format('h.text')} AS b FROM hits h JOIN f ON f.query_id = h.query_id WHERE stage = 'rerank'),
         s AS (SELECT query_id, chunk_id, round(max(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(a) END), 6) AS score_rerank FROM t GROUP BY query_id, chunk_id)
@@ -373,7 +388,7 @@ SQL = {
     "refusal_accuracy": f"SELECT strategy, count(*) AS n, count(*) FILTER (refused) AS n_refused, round(avg(CASE WHEN refused = (top_rerank_score < 0.35) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM {_E} WHERE refused IS NOT NULL AND top_rerank_score IS NOT NULL GROUP BY strategy",
     "answer_support": f"""WITH g AS (SELECT query_type, strategy, coalesce(answer, '') AS a, coalesce(refused, false) AS refused, list_distinct(regexp_extract_all(coalesce(gold_answer, ''), '[\\d.]+%?|[A-Za-z]{{2,}}|[一-鿿]{{2,}}')) AS t FROM {_E})
         SELECT query_type, strategy, count(*) AS n, count(*) FILTER (NOT refused AND CASE WHEN len(t) > 0 THEN len(list_filter(t, lambda x: contains(a, x))) >= least(2, len(t)) ELSE length(a) > 40 END) AS n_supported FROM g GROUP BY query_type, strategy""",
-    "gold_candidates": f"""WITH {HITS}, w AS (SELECT row_id AS query_id, doc_id, unnest(list_distinct({TOKENS.format('gold_answer')})) AS token FROM {_E} WHERE row_id % {EVERY} = 0),
+    "gold_candidates": f"""WITH {HITS}, w AS (SELECT row_id AS query_id, doc_id, unnest(list_distinct({TOKENS.format('gold_answer')})) AS token FROM {_E}),
         h AS (SELECT doc_id, chunk_id, unnest(list_distinct({TOKENS.format('text')})) AS token FROM (SELECT DISTINCT ON (chunk_id) * FROM hits)),
         c AS (SELECT query_id, chunk_id, count(*) AS score FROM w JOIN h USING (doc_id, token) GROUP BY query_id, chunk_id)
         SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM c) WHERE rank <= 3""",

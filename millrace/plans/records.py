@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from millrace.functions import query as qf
 from millrace.functions import text as tx
 from millrace.operators import cache, chunking, evidence, metrics, models, records, retrieval
-from millrace.plans.common import MANIFEST, UNITS, asked, best_chunks, hits, manifest, questions, units
+from millrace.plans.common import BEST, HITS, MANIFEST, UNITS, asked, best_chunks, hits, manifest, questions, units
+from millrace.plans.ingest import _markers, _strip
+from millrace.plans.quality import _CUT
 from millrace.session import cut
 from millrace.sources.tables import table
 
@@ -111,10 +113,10 @@ def paraphrases(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cache_codec(spark: SparkSession, folder: str) -> DataFrame:
-    """Entries through their JSON form and back: fields that came back otherwise."""
-    rows = questions(spark, folder).select(F.md5("query").alias("storage_key"), "query", F.lit("chat").alias("scope"), "stock_code", "query_type", F.lit(60).alias("ttl_s"), "refused", F.array("top1_chunk_id").alias("chunk_ids"))
-    back = rows.withColumn("e", cache.entry_from_json(cache.entry_to_json(*[F.col(c) for c in rows.columns])))
-    return back.agg(F.count("*").alias("n"), *[F.count_if(~F.col(f"e.{c}").eqNullSafe(F.col(c))).alias(f"bad_{c}") for c in ("query", "stock_code", "refused", "ttl_s")])
+    """Entries as they come back from their JSON form."""
+    rows = questions(spark, folder).select(F.md5("query").alias("storage_key"), "query", F.lit("chat").alias("scope"), "stock_code", "query_type", F.lit(60).alias("ttl_s"), "refused", F.array("top1_chunk_id").alias("chunk_ids"), "row_id")
+    back = rows.withColumn("e", cache.entry_from_json(cache.entry_to_json(*[F.col(c) for c in rows.columns if c != "row_id"])))
+    return back.select("row_id", "e.storage_key", "e.query", "e.stock_code", "e.query_type", "e.refused", "e.ttl_s", F.array_join("e.chunk_ids", ",").alias("chunks"))
 
 
 def missing_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,13 +137,29 @@ QUERIES = [
     cache_codec, missing_chunks, token_aliases,
 ]
 
+_PAGE = "CASE WHEN coalesce(page_start, 0) <= 0 THEN '' WHEN coalesce(page_end, 0) > page_start THEN '第' || page_start || '-' || page_end || '页' ELSE '第' || page_start || '页' END"
+_PAIR = "CASE WHEN length(trim(regexp_extract({0}, '{1}', 1))) >= 2 AND length(trim(regexp_replace(regexp_extract({0}, '{1}', 2), '[0-9０-９].*$', ''))) >= 2 THEN trim(regexp_extract({0}, '{1}', 1)) || '、' || trim(regexp_replace(regexp_extract({0}, '{1}', 2), '[0-9０-９].*$', '')) END"
+_NAMES = f"coalesce({_PAIR.format('trim(query)', qf.COMPARE)}, {_PAIR.format('trim(query)', qf.COMPARE_OPEN)}, '')"
+
+_HEAD = "coalesce(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: " + _strip("x") + "), lambda x: x <> '')[1], '')"
+_NAMED = f"{records.FINANCIAL_TABLE}|{records.SELF_TITLED}"
+
 SQL = {
+    "table_sections": f"""WITH {UNITS}, t AS (SELECT unit_id, {_markers("coalesce(section_title, '')")} AS current, {_markers("coalesce(table_caption, '')")} AS caption, {_strip(_HEAD)} AS head FROM units WHERE unit_type = 'table' AND table_header IS NOT NULL)
+        SELECT unit_id, CASE WHEN caption <> '' AND regexp_matches(caption, '{_NAMED}') THEN caption WHEN head <> '' AND regexp_matches(head, '{_NAMED}') THEN head WHEN regexp_matches(current, '{records.MISLEADING_SECTION}') AND coalesce(nullif(caption, ''), nullif(head, '')) IS NOT NULL THEN coalesce(nullif(caption, ''), nullif(head, ''))
+        ELSE coalesce(nullif(current, ''), caption) END AS title FROM t""",
     "rating_headlines": f"""WITH {MANIFEST} SELECT doc_id, doc_id || '_rating_headline' AS chunk_id, coalesce(nullif(company_name, ''), nullif(report_title, ''), '该公司') || CASE WHEN coalesce(stock_code, '') <> '' THEN '（' || stock_code || '）' ELSE '' END
         || ' 研报投资评级：' || rating || '。' || CASE WHEN coalesce(broker, '') <> '' THEN ' 券商：' || broker || '。' ELSE '' END AS text FROM manifest WHERE coalesce(rating, '') <> ''""",
     "appendix_chunks": f"""WITH {UNITS}, m AS (SELECT *, coalesce(regexp_matches(section_title, '附录|三大报表|财务报表预测|盈利预测与估值'), false) AS own FROM units),
         f AS (SELECT doc_id, unit_id, coalesce(text, '') AS t, CASE WHEN own AND coalesce(lag(own) OVER w, false) THEN 0 ELSE 1 END AS s FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY unit_id)),
         g AS (SELECT *, CAST(sum(s) OVER (PARTITION BY doc_id ORDER BY unit_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM f)
         SELECT doc_id, island, CAST(count(*) AS INTEGER) AS n_rows, CAST(length(string_agg(t, chr(10) ORDER BY unit_id)) AS INTEGER) AS n_chars FROM g GROUP BY doc_id, island HAVING count(*) > 1""",
-    "cache_codec": "SELECT count(*) AS n, 0 AS bad_query, 0 AS bad_stock_code, 0 AS bad_refused, 0 AS bad_ttl_s FROM eval_generation_detail",
+    "cache_codec": "SELECT row_id, md5(query) AS storage_key, query, stock_code, query_type, refused, 60 AS ttl_s, coalesce(top1_chunk_id, '') AS chunks FROM eval_generation_detail",
+    "token_aliases": f"WITH {HITS}, t AS (SELECT unnest([" + ", ".join(f"{{'token': '{k}', 'words': [{', '.join(chr(39) + w + chr(39) for w in v)}]}}" for k, v in metrics.ALIASES.items()) + "], recursive := true)) SELECT token, count(*) FILTER (len(list_filter(words, lambda w: contains(coalesce(text, ''), w))) > 0) AS n FROM hits, t GROUP BY token",
+    "prompts": f"""WITH {HITS}, {BEST}, w AS (SELECT row_id AS query_id, doc_id, coalesce(query, '') AS query, coalesce(query_type, 'factual') AS kind FROM eval_generation_detail),
+        p AS (SELECT query_id, query, kind, rank, length('[' || rank || '] 公司：' || coalesce(nullif(trim(coalesce(company_name, '')), ''), '未知公司') || ' | 章节：' || coalesce(nullif(trim(coalesce(section_title, '')), ''), '未知章节') || ' | 页码：' || {_PAGE}) + 1 + least(length({_CUT}), 1200) AS n FROM w JOIN best USING (doc_id)),
+        g AS (SELECT query_id, query, kind, count(*) AS n_blocks, sum(n) + 2 * (count(*) - 1) AS n FROM p GROUP BY ALL),
+        h AS (SELECT *, CASE kind {" ".join(f"WHEN '{k}' THEN {len(v)}" for k, v in records.TYPE_HINTS.items())} ELSE {len(records.TYPE_HINTS["factual"])} END AS hint, {_NAMES} AS names FROM g)
+        SELECT query_id, CAST(n_blocks AS INTEGER) AS n_blocks, CAST(3 + length(query) + 1 + 3 + length(kind) + 1 + CASE WHEN names = '' THEN 0 ELSE 5 + length(names) + 1 END + 5 + hint + 1 + 5 + n AS INTEGER) AS n_chars FROM h""",
     "missing_chunks": "SELECT row_id AS entry_id, top1_chunk_id AS missing FROM eval_generation_detail WHERE top1_chunk_id IS NOT NULL AND top1_chunk_id NOT IN (SELECT chunk_id FROM retrieved_chunks WHERE chunk_id IS NOT NULL)",
 }

@@ -18,7 +18,8 @@ def join_inner(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def join_left_anti(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "customer").join(table(spark, folder, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    urgent = table(spark, folder, "orders").where("o_orderpriority = '1-URGENT'")
+    return table(spark, folder, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 def join_semi(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,7 +118,7 @@ QUERIES = [
 
 SQL = {
     "join_inner": "SELECT n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
-    "join_left_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "join_left_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
     "join_semi": "SELECT p_partkey, p_brand FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')",
     "join_full": """SELECT k, coalesce(n_lines, 0) AS n_lines, coalesce(n_orders, 0) AS n_orders FROM (SELECT l_suppkey AS k, count(*) AS n_lines FROM lineitem GROUP BY 1)
         FULL JOIN (SELECT o_custkey AS k, count(*) AS n_orders FROM orders GROUP BY 1) USING (k)""",
