@@ -6,6 +6,8 @@ Queries without matches have no rows. Null texts match nothing; null vectors hav
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.query import dense_weight, widened
-from millrace.session import broadcast_if_small, cut
+from millrace.session import broadcast_if_small, cut, spread
 
 # Parameters of the lexical score, of fusion and of score adjustment.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -45,28 +47,55 @@ def ranked(df: DataFrame, query: str, item: str, score: Column, k: int | None =
     return out.where(F.col("rank") <= k) if k else out
 
 
+_RUN = re.compile("[㐀-䶿一-鿿]+|[a-z0-9]+")
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk_id, text) -> (chunk_id, tokens, tfs, length): the distinct ``tokens`` of each text, how often each occurs, and how many there are."""
+    for b in batches:
+        words, counts, sizes = [], [], []
+        for text in b.column(1).to_pylist():
+            bag = Counter()
+            for run in _RUN.findall((text or "").lower()):
+                bag.update([run] if run < "{" or len(run) < 2 else map("".join, zip(run, run[1:], strict=False)))
+            words += bag
+            counts += bag.values()
+            sizes.append(len(bag))
+        ends = np.cumsum([0, *sizes])
+        totals = np.add.reduceat([*counts, 0], np.minimum(ends[:-1], len(counts))) if sizes else np.zeros(0)
+        totals = np.where(np.array(sizes, dtype=int) > 0, totals, 0).astype(np.int32)
+        offsets = pa.array(ends.astype(np.int32))
+        cols = [b.column(0), pa.ListArray.from_arrays(offsets, pa.array(words, pa.string())), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32())), pa.array(totals)]
+        yield pa.RecordBatch.from_arrays(cols, names=["chunk_id", "tokens", "tfs", "length"])
+
+
 class LexicalIndex:
     """Postings, document lengths and token weights of a corpus, each a DataFrame.
 
-    Tokens are written once to the shared checkpoint folder, lengths and postings follow from them; postings
-    are written when they are first asked for, as every search reads them several times.
+    Items must be unique. The tokens of each item are counted in its own task, without a shuffle, and written once
+    to the shared checkpoint folder; postings are written when they are first asked for.
     """
 
     def __init__(self, corpus: DataFrame, item: str, text: str):
-        self._bags = cut(corpus.select(F.col(item).alias("chunk_id"), tokens(F.col(text)).alias("tokens")))
-        self.lengths = self._bags.select("chunk_id", F.size("tokens").alias("length"))
+        kind = dict(corpus.dtypes)[item]
+        self._bags = cut(spread(corpus.select(F.col(item).alias("chunk_id"), F.col(text).alias("text"))).mapInArrow(_bags, f"chunk_id {kind}, tokens array<string>, tfs array<int>, length int"))
+        self.lengths = self._bags.select("chunk_id", "length")
         self._postings = None
 
+    def _exploded(self) -> DataFrame:
+        pair = F.explode(F.arrays_zip("tokens", "tfs")).alias("p")
+        return self._bags.select("chunk_id", pair).select(F.col("p.tokens").alias("token"), "chunk_id", F.col("p.tfs").cast("long").alias("tf"))
+
     @property
     def postings(self) -> DataFrame:
         """(token, chunk_id, tf)."""
         if self._postings is None:
-            self._postings = cut(self._bags.select("chunk_id", F.explode("tokens").alias("token")).groupBy("token", "chunk_id").agg(F.count("*").alias("tf")))
+            self._postings = cut(self._exploded())
         return self._postings
 
     def save(self, path: str) -> None:
         """Postings, by token, and lengths as tables under ``path``."""
-        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
+        (self._postings if self._postings is not None else self._exploded()).write.mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
     @classmethod

@@ -70,3 +70,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     ``df`` should be cheap to count (a written table or a small aggregate).
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores; one that has them already is not shuffled.
+
+    For work that is dear per row, where a small input lies in a few files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

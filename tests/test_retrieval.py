@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import query as qf
 from millrace.operators import retrieval
+from millrace.sources.tables import table
 
 
 def vectors(n, seed=1, size=8):
@@ -38,6 +39,15 @@ def test_tokens(spark):
     assert [r[0] for r in df.select(retrieval.tokens(F.col("t"))).collect()] == [w for _, w in rows]
 
 
+def test_postings_are_the_tokens_counted(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    index = retrieval.LexicalIndex(docs, "doc_id", "text")
+    bags = docs.select(F.col("doc_id").alias("chunk_id"), retrieval.tokens(F.col("text")).alias("t"))
+    want = {tuple(r) for r in bags.select("chunk_id", F.explode("t").alias("token")).groupBy("token", "chunk_id").count().collect()}
+    assert {tuple(r) for r in index.postings.collect()} == want and len(want) > 100
+    assert {tuple(r) for r in index.lengths.collect()} == {tuple(r) for r in bags.select("chunk_id", F.size("t")).collect()}
+
+
 def test_index_is_loaded_as_saved(spark, tmp_path):
     docs = spark.createDataFrame([(1, "公司净利润增长"), (2, "公司毛利率下降"), (3, None)], "id long, text string")
     queries = spark.createDataFrame([(1, "净利润"), (2, None)], "q long, text string")
