@@ -37,6 +37,58 @@ def flatten_pages(documents: DataFrame) -> DataFrame:
     return items.select("doc_id", "page", "pos", "item.type", "item.content")
 
 
+SPAN = "array<struct<type:string,content:string,children:string>>"
+
+
+def spans_text(spans: Column, depth: int = 3) -> Column:
+    """The text of spans in JSON; a link without text gives that of its children, down to ``depth`` levels. No spans give no text."""
+    inner = (lambda c: spans_text(c, depth - 1)) if depth > 1 else (lambda c: F.lit(""))
+    own = lambda x: F.when((x["type"] == "hyperlink") & (tx.text_or_empty(x["content"]) == ""), inner(x["children"])).otherwise(tx.text_or_empty(x["content"]))
+    parts = F.transform(F.from_json(spans, SPAN), own)
+    return tx.normalize_text(F.coalesce(F.array_join(parts, ""), F.lit("")))
+
+
+# Under what name an item of each type keeps its spans.
+LISTS = {"list": "list_items", "index": "index_items"}
+PARTS = {"code": ("code_caption", "code_content", "code_footnote"), "algorithm": ("algorithm_caption", "algorithm_content", "algorithm_footnote")}
+
+
+def parsed_items(items: DataFrame) -> DataFrame:
+    """``items`` (type, content, ...) with ``text``, ``table_caption``, ``table_header``, ``table_rows`` and ``table_footnote``.
+
+    Content that is nested JSON is flattened by the item's type; other content is text already. A table whose header names no
+    years takes its first row as header if that does. Tables of other types are empty.
+    """
+    field = lambda f: F.get_json_object("content", f"$.{f}")
+    lines = lambda *parts: tx.normalize_text(F.array_join(F.filter(F.array(*parts), lambda x: tx.text_or_empty(x) != ""), "\n"))
+    spans = lambda f: spans_text(field(f))
+    caption, footnote, body = tx.clean_markers(spans("table_caption")), spans("table_footnote"), tx.html_table_to_text(field("html"))
+
+    def listed(f: str) -> Column:
+        plain = F.from_json(field(f), "array<string>")
+        one = lambda x: F.when(x.startswith("{"), spans_text(F.concat(F.lit("["), x, F.lit("]")))).otherwise(x)
+        return tx.normalize_text(F.coalesce(F.array_join(F.transform(plain, one), "\n"), F.lit("")))
+
+    equation = F.when(tx.text_or_empty(field("math_content")).startswith("["), spans("math_content")).otherwise(tx.normalize_text(field("math_content")))
+    made = F.when(F.col("type") == "table", lines(caption, body, footnote)).when(F.col("type") == "chart", lines(spans("chart_caption"), tx.normalize_text(field("content")), spans("chart_footnote")))
+    made = made.when(F.col("type") == "equation_interline", equation).when(F.col("type") == "title", spans("title_content"))
+    for kind, name in LISTS.items():
+        made = made.when(F.col("type") == kind, listed(name))
+    for kind, parts in PARTS.items():
+        made = made.when(F.col("type") == kind, lines(*map(spans, parts)))
+    made = made.when(F.col("type") == "paragraph", spans("paragraph_content")).otherwise("")
+    nested = tx.text_or_empty(F.col("content")).startswith("{")
+    is_table = F.col("type") == "table"
+    none = F.array().cast("array<string>")
+    named = items.withColumn("_nested", nested).withColumn("text", F.when(nested, made).otherwise(tx.normalize_text(F.col("content")))).withColumn("_body", F.when(is_table, F.when(nested, body).otherwise(tx.html_table_to_text(F.col("content")))))
+    named = named.withColumn("table_caption", F.when(is_table & F.col("_nested"), caption).otherwise("")).withColumn("table_footnote", F.when(is_table & F.col("_nested"), footnote).otherwise(""))
+    named = named.withColumn("table_header", F.when(is_table, tx.table_header(F.col("_body"))).otherwise("")).withColumn("table_rows", F.when(is_table, tx.table_rows(F.col("_body"))).otherwise(none))
+    first = F.coalesce(F.get("table_rows", F.lit(0)), F.lit(""))
+    promote = (F.size(tx.year_columns(F.col("table_header"))) == 0) & (F.size(tx.year_columns(first)) > 0)
+    named = named.withColumn("_promote", promote).withColumn("table_header", F.when(F.col("_promote"), first).otherwise(F.col("table_header")))
+    return named.withColumn("table_rows", F.when(F.col("_promote"), F.slice("table_rows", 2, F.greatest(F.size("table_rows") - 1, F.lit(1)))).otherwise(F.col("table_rows"))).drop("_nested", "_body", "_promote")
+
+
 def units_of(items: DataFrame) -> DataFrame:
     """Items with the title that stands last before them, tables numbered within their document."""
     order = Window.partitionBy("doc_id").orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, 0)

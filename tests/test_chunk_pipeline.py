@@ -1,3 +1,4 @@
+import json
 import random
 import re
 
@@ -116,3 +117,20 @@ def test_appendices_are_merged(spark):
     df = spark.createDataFrame(rows, "doc_id string, pos long, part int, section_title string, text string, embedding_text string, content_type string, is_retrievable boolean, pdf_page_numbers array<int>, unit_count long, unit_types array<string>")
     got = sorted((r["pos"], r["text"], r["pdf_page_numbers"], r["unit_count"]) for r in records.merged_appendices(df).collect())
     assert got == [(1, "文1", [1], 1), (2, "文2\n文3", [2, 3], 2), (4, "文4", [4], 1), (5, "文5", [5], 1), (6, "文6", [6], 1)]
+
+
+def test_parsed_items(spark):
+    span = lambda *texts: [{"type": "text", "content": t} for t in texts]
+    link = {"type": "hyperlink", "content": "", "children": span("链", "接")}
+    items = [
+        ("paragraph", {"paragraph_content": [*span("净利润", "增长"), {"type": "equation_inline", "content": "x^2"}, link]}, "净利润增长x^2链接"),
+        ("table", {"table_caption": span("利润表"), "html": "<table><tr><td>单位：亿元</td></tr><tr><td>指标</td><td>2024A</td></tr><tr><td>营收</td><td>5</td></tr></table>", "table_footnote": span("注")}, None),
+        ("chart", {"chart_caption": span("图1"), "content": "上升", "chart_footnote": None}, "图1\n上升"), ("list", {"list_items": ["一", "二"]}, "一\n二"), ("index", {"index_items": span("甲", "乙")}, "甲\n乙"),
+        ("equation_interline", {"math_content": "a+b"}, "a+b"), ("equation_interline", {"math_content": span("c")}, "c"), ("code", {"code_caption": span("标"), "code_content": span("x=1")}, "标\nx=1"), ("title", {"title_content": span("[Table_Title]标题")}, "标题"), ("paragraph", {}, ""),
+    ]
+    rows = [(i, kind, json.dumps(content, ensure_ascii=False)) for i, (kind, content, _) in enumerate(items)] + [(90, "paragraph", "平文"), (91, "paragraph", None)]
+    got = {r["k"]: r for r in chunking.parsed_items(spark.createDataFrame(rows, "k int, type string, content string")).collect()}
+    assert {k: r["text"] for k, r in got.items() if k != 1} == {i: t for i, (_, _, t) in enumerate(items) if i != 1} | {90: "平文", 91: ""}
+    table = got[1]
+    assert table["table_caption"] == "利润表" and table["table_footnote"] == "注" and table["table_header"].startswith("指标 | 2024A") and [x.split(" | ")[0] for x in table["table_rows"]] == ["营收"]
+    assert table["text"].startswith("利润表\n单位：亿元") and table["text"].endswith("注")
