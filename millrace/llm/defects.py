@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import any_contained
 from millrace.llm.hashing import SLICE_CHARS, Texts, mixed, passes, slices, summed, wanted_filter
 from millrace.session import broadcast_if_small, cut
 
@@ -78,11 +79,14 @@ _HEADING = r"【[^】\n]{1,8}】|(?i)(?:结论|要点|核心观点|观点|总结
 _PLACEHOLDER = r"(?i)\A(?:n/?a|nan|null|none|nil|undefined|empty|tbd|todo|unknown|无|空|暂无|没有|略|待补充|待定|无内容|无答案|无数据|暂无数据|no answer|no data)\z"
 _LABEL = r"(?i)(?:问题|提问|问|用户问题|您问的是|你问的是|关于|原问题|question|query|q)\s*[:：]?"
 _POLITE = r"(?i)(?:你好|您好|请问|麻烦问下|麻烦问一下|麻烦|想了解|帮我查下|帮我查一下|帮我看下|请教|谢谢|感谢|thanks|thank you|hello|hi|please)"
-_REFUSAL = (
-    r"(?i)(?:抱歉|对不起|很遗憾|遗憾|无法|不能|不便|难以|恕|拒绝|不予|不作答|答不了|不清楚|没有(?:足够)?把握|先跳过|未检索到|没有检索到|未找到|没有找到|找不到|未达到作答要求|不足以|证据不足|信息不足"
-    r"|不输出答案|不给出(?:结论|答案)|无从|暂不|超出.{0,12}范围|缺少|换一种问法|查阅原始|sorry|unable to|can(?:no|')t|can not|could not|couldn't|not able to|decline|refuse"
-    r"|no (?:supporting|relevant|sufficient) \w+|not enough|insufficient|below the required|do(?:es)? not (?:let|allow|contain|provide|cover)|outside (?:the|my) scope|as an ai)"
-)
+# Words by which an answer may decline, in lower case, and the one phrase with a gap.
+_REFUSAL_WORDS = (
+    "抱歉", "对不起", "遗憾", "无法", "不能", "不便", "难以", "恕", "拒绝", "不予", "不作答", "答不了", "不清楚", "没有把握", "没有足够把握", "先跳过", "未检索到", "没有检索到", "未找到", "没有找到", "找不到", "未达到作答要求",
+    "不足以", "证据不足", "信息不足", "不输出答案", "不给出结论", "不给出答案", "无从", "暂不", "缺少", "换一种问法", "查阅原始",
+    "sorry", "unable to", "cannot", "can't", "can not", "could not", "couldn't", "not able to", "decline", "refuse", "no supporting ", "no relevant ", "no sufficient ", "not enough", "insufficient", "below the required",
+    "do not let", "do not allow", "do not contain", "do not provide", "do not cover", "does not let", "does not allow", "does not contain", "does not provide", "does not cover", "outside the scope", "outside my scope", "as an ai",
+)
+_REFUSAL_GAP = ("超出", "超出.{0,12}范围")
 # Figures, those that tell nothing (years, stock codes), and remarks on scores in brackets.
 _FIGURE = r"(?<![QqHh\d.,])\d+(?:[.,]\d+)*"
 _NO_FIGURE = r"\A(?:(?:19|20)\d{2}|\d{6})\z"
@@ -191,9 +195,8 @@ def _sample(rows: DataFrame, text: str, n: int) -> list[str]:
 
 
 def fit_languages(questions: DataFrame, text: str, train_rows: int = TRAIN_ROWS) -> LanguageModel:
-    """A model from the sentences above and at most ``train_rows`` questions each of Han and of Latin script."""
-    spare = F.regexp_replace(F.col(text), _REQUEST.replace("LANG", "|".join(ASKED.values())), " ")
-    rows = questions.where(F.col(text).isNotNull()).select(spare.alias("text")).distinct()
+    """A model from the sentences above and at most ``train_rows`` questions each of Han and of Latin script; ``text``: without what asks for a language."""
+    rows = questions.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).distinct()
     han = F.length(F.regexp_replace("text", r"\P{IsHan}+", ""))
     latin = F.length(F.regexp_replace("text", r"\P{IsLatin}+", ""))
     labelled = cut(rows.withColumn("lang", F.when(han * 3 > latin, "zh").when((latin > 20) & (han == 0), "en")).where("lang IS NOT NULL"))
@@ -284,34 +287,39 @@ def defective_pairs(df: DataFrame, key: str, question: str, answer: str) -> Data
     rows = rows.withColumn("answer", F.regexp_replace("answer", r"[\s\p{Z}\p{Cf}]+\z", ""))
     body = F.regexp_replace("answer", _SOURCES, "")
     rows = rows.withColumn("body", F.trim(F.regexp_replace(body, _CITATION, "")))
-    core = F.regexp_replace("body", _HEADING, "")
+    # every heading has one of these signs
+    core = F.when(F.col("body").rlike("[【:：#]"), F.regexp_replace("body", _HEADING, "")).otherwise(F.col("body"))
 
-    asked = F.coalesce(*[F.when(F.col("question").rlike(_REQUEST.replace("LANG", words)), lang) for lang, words in ASKED.items()])
-    spare = F.regexp_replace("question", _REQUEST.replace("LANG", "|".join(ASKED.values())), " ")
+    every = "|".join(ASKED.values())
+    speaks = F.coalesce(F.col("question").rlike(every), F.lit(False))  # only then can it ask for a language
+    asked = F.when(speaks, F.coalesce(*[F.when(F.col("question").rlike(_REQUEST.replace("LANG", words)), lang) for lang, words in ASKED.items()]))
+    spare = F.when(speaks, F.regexp_replace("question", _REQUEST.replace("LANG", every), " ")).otherwise(F.col("question"))
 
     empty = F.col("answer").isNull() | (_letters(core) == "") | F.trim(core).rlike(_PLACEHOLDER) | F.trim("body").rlike(_PLACEHOLDER)
     q = F.regexp_replace(_letters(F.regexp_replace("question", _POLITE, "")), r"\s", "")
-    a = _letters(F.regexp_replace(F.regexp_replace(F.regexp_replace("body", _HEADING, ""), _POLITE, ""), _LABEL, ""))
+    a = _letters(F.regexp_replace(F.regexp_replace(core, _POLITE, ""), _LABEL, ""))
     asked_again = _letters(F.regexp_replace(F.regexp_replace("question", _POLITE, ""), _LABEL, ""))
     rest = F.replace(a, asked_again, F.lit(""))
     copies = (F.length(asked_again) >= 4) & ((rest == "") | ((F.length(a) >= 6) & (F.length(a) >= 0.7 * F.length(q)) & q.contains(a)))
     # figures that the question names, years and stock codes are no answer, nor is what a refusal says of its scores
     said = F.regexp_replace(F.regexp_replace("body", _CITATION, ""), _REMARK, "")
     own_figure = F.exists(F.array_except(F.regexp_extract_all(said, F.lit(_FIGURE), F.lit(0)), F.regexp_extract_all(F.coalesce("question", F.lit("")), F.lit(_FIGURE), F.lit(0))), lambda x: ~x.rlike(_NO_FIGURE))
-    words = F.coalesce(F.col("body").rlike(_REFUSAL), F.lit(False))
-    rows = cut(rows.select("*", (words & ~own_figure).alias("worded"), words.alias("words"), F.regexp_replace(core, r"\d+", " ").alias("core")))
+    words = F.coalesce(any_contained(F.lower("body"), _REFUSAL_WORDS) | (F.contains("body", F.lit(_REFUSAL_GAP[0])) & F.col("body").rlike(_REFUSAL_GAP[1])), F.lit(False))
+    # an answer that names something of the question, as one of two choices, is short but whole
+    named = F.coalesce(q.contains(a) & (F.length(a) >= 2), F.lit(False))
+    early = F.when(empty, "empty").when(copies, "copies_question")
+    read = cut(rows.select("key", "answer", "body", spare.alias("spare"), asked.alias("asked"), F.regexp_replace(core, r"\d+", " ").alias("core"), early.alias("early"), named.alias("named"), (words & ~own_figure).alias("worded"), words.alias("words")))
 
-    judge = judged_texts(fit_languages(df, question), fit_refusals(rows.where("answer != ''"), "body", F.when(F.col("worded") & (F.length("body") <= SURE_CHARS), True).when(~F.col("words"), False)))
-    langs = rows.withColumn("asked", asked).withColumn("by", judge(spare, F.col("core"), F.when(F.col("worded"), F.col("body"))))
+    worded = F.when(F.col("worded") & (F.length("body") <= SURE_CHARS), True).when(~F.col("words"), False)
+    judge = judged_texts(fit_languages(read, "spare"), fit_refusals(read.where("answer != ''"), "body", worded))
+    langs = read.withColumn("by", judge(F.col("spare"), F.col("core"), F.when(F.col("worded"), F.col("body"))))
     refusal = F.col("by.side").eqNullSafe("refusal")
     latin = ("de", "en", "es", "fr", "it", "pt")
     enough = F.when(F.col("by.q").isin(*latin) & F.col("by.a").isin(*latin), MIN_LETTERS_ONE_SCRIPT).otherwise(MIN_LETTERS)
     sure = (F.col("by.q_sure") >= MIN_POSTERIOR) & (F.col("by.a_sure") >= MIN_POSTERIOR) & (F.col("by.a_letters") >= enough)
     other = sure & (F.col("by.q") != F.col("by.a")) & ~F.coalesce(F.col("by.a") == F.col("asked"), F.lit(False))
-    first = F.when(empty, "empty").when(copies, "copies_question").when(refusal, "refusal").when(other, "other_language")
-    # an answer that names something of the question, as one of two choices, is short but whole
-    named = F.coalesce(q.contains(a) & (F.length(a) >= 2), F.lit(False))
-    judged = cut(langs.select("key", "answer", named.alias("named"), first.alias("defect")))
+    first = F.coalesce("early", F.when(refusal, "refusal").when(other, "other_language"))
+    judged = cut(langs.select("key", "answer", "named", first.alias("defect")))
     whole = judged.where("answer IS NOT NULL AND answer != ''").withColumn("marked", F.col("answer").rlike(_CUT_MARKS))
 
     # an answer that ends in a full stop is whole, however rare its last words are
