@@ -295,7 +295,7 @@ def defective_pairs(df: DataFrame, key: str, question: str, answer: str) -> Data
     asked = F.when(speaks, F.coalesce(*[F.when(F.col("question").rlike(_REQUEST.replace("LANG", words)), lang) for lang, words in ASKED.items()]))
     spare = F.when(speaks, F.regexp_replace("question", _REQUEST.replace("LANG", every), " ")).otherwise(F.col("question"))
 
-    empty = F.col("answer").isNull() | (_letters(core) == "") | F.trim(core).rlike(_PLACEHOLDER) | F.trim("body").rlike(_PLACEHOLDER)
+    empty = F.col("answer").isNull() | ~core.rlike(r"[\p{L}\p{N}]") | F.trim(core).rlike(_PLACEHOLDER) | F.trim("body").rlike(_PLACEHOLDER)
     q = F.regexp_replace(_letters(F.regexp_replace("question", _POLITE, "")), r"\s", "")
     a = _letters(F.regexp_replace(F.regexp_replace(core, _POLITE, ""), _LABEL, ""))
     asked_again = _letters(F.regexp_replace(F.regexp_replace("question", _POLITE, ""), _LABEL, ""))
